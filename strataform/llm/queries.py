@@ -9,10 +9,45 @@ from strataform.functions.jsons import instant_us
 from strataform.llm.addresses import same_building
 from strataform.llm.contamination import leaked
 from strataform.llm.encoding_repair import repaired
+from strataform.llm.languages import fit_on, label_code, labelled
+from strataform.llm.packing import TOKENIZER, packed, token_counts
 from strataform.llm.survivors import duplicate_groups, surviving_records, votes, winners
 from strataform.sources.tables import table
 
 
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct reviews: raw_sha256, identity_key, language, text (the original text)."""
+    r = table(spark, d, "parsed_reviews", "raw_sha256", "identity_key", "language", "raw_json")
+    r = r.withColumn("j", F.from_json("raw_json", "text_original string, Description string"))
+    return r.select("raw_sha256", "identity_key", "language", F.coalesce("j.text_original", "j.Description").alias("text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    r = _reviews(spark, d)
+    field = fit_on(r, F.col("text"), F.col("language"), F.col("raw_sha256"))
+    t = labelled(r.select("raw_sha256", "identity_key", label_code(F.col("language")).alias("code"), "text"), "text", field)
+    langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    t = t.select("raw_sha256", "identity_key", "code", langs.alias("langs")).filter(F.size("langs") > 0)
+    t = t.filter((F.size("langs") > 1) | F.col("code").isNull() | (F.col("code") != F.col("langs")[0]))
+    return t.select("raw_sha256", "identity_key", F.explode("langs").alias("lang")).distinct()
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every review with its language and confidence."""
+    r = _reviews(spark, d).dropDuplicates(["raw_sha256"])
+    field = fit_on(r, F.col("text"), F.col("language"), F.col("raw_sha256"))
+    t = labelled(r.select("raw_sha256", "text"), "text", field)
+    return t.select("raw_sha256", F.posexplode("segments").alias("segment_no", "s")).select("raw_sha256", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.lang", F.round("s.confidence", 6).alias("confidence"), F.col("s.words").alias("words"))
+
+
+def p8_packed(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Containers for every capacity; exact copies of a text (case and spacing aside) never share one."""
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    cluster = F.xxhash64(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
+    sized = token_counts(docs.select("doc_id", "source", cluster.alias("cluster"), "text"), "text", tokenizer)
+    return packed(sized, table(spark, d, "packing_targets", "target_id", "capacity_tokens"))
+
+
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "businesses", "id", "place_id", "cid", "data_id")
     done = table(spark, d, "runs", "id", "status").filter("status = 'complete'").select(F.col("id").alias("last_run_id"), F.lit(1.0).alias("done"))
@@ -41,5 +76,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repaired(table(spark, d, "documents", "doc_id", "text")).select(F.col("key").alias("doc_id"), "restored_sha256")
 
 
-QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_packed": p8_packed, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
