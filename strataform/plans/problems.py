@@ -39,3 +39,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found}
+
+_OK = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
+SQL = {
+    "p2_found": f"""with p as (select distinct id, latitude, longitude from businesses where {_OK}),
+d as (select a.id x, b.id y, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))) m
+  from p a join p b on a.id < b.id and abs(a.latitude - b.latitude) < 0.01)
+select 'near' relation, x left_id, y right_id from d where m <= 120 union all
+select 'in', id, area_id from p join areas on latitude between min_lat and max_lat and (case when min_lon <= max_lon then longitude between min_lon and max_lon else longitude >= min_lon or longitude <= max_lon end)""",
+}

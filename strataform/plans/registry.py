@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from strataform.plans import problems
+from strataform.plans import problems, reference
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | reference.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return problems.SQL | reference.SQL

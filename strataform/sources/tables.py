@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, root: str, name: str, *columns) -> DataFrame:
     """Table ``name`` under ``root``; only ``columns`` where given, so that the scan prunes the rest."""
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
