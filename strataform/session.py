@@ -40,13 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/strataform/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what this application materialized; results that were not written or gathered yet are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     Cuts the lineage, survives the loss of executors, and lets a result that is used twice be computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataform/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
