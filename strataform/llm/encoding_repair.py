@@ -189,7 +189,7 @@ def _looks_clean(text: str) -> bool:
 def fit_on(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = 4000, fit_sentences: int = 20_000) -> Model:
     """Fits on up to ``fit_docs`` documents with non-ASCII text, chosen by a hash of the key, and as many sentences."""
     sample = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(text).alias("t"), F.col(key).alias("k"))
-    rows = sample.orderBy(F.xxhash64("k"), "k").limit(fit_docs).select(F.substring("t", 1, 20_000).alias("t")).collect()
+    rows = sample.orderBy(F.xxhash64("k"), "k").limit(fit_docs).select("t").collect()
     pool = list(dict.fromkeys(s for r in rows for s in sentences(r.t) if not s.isascii()))
     clean = [s for s in pool if _looks_clean(s)][:fit_sentences]
     model = fit(clean)

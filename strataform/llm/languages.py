@@ -267,8 +267,8 @@ SEGMENT = "array<struct<start:int,end:int,lang:string,confidence:double,words:in
 
 
 def labelled(df: DataFrame, text: str, field: Field, min_words: int = 3, min_confidence: float = 0.6) -> DataFrame:
-    """All columns but the text, and ``segments``: per segment start, end (characters), language, confidence, words."""
-    keep = [c for c in df.columns if c != text]
+    """All columns but the text (and any ``segments`` of the input), and ``segments``: per segment start, end (characters), language, confidence, words."""
+    keep = [c for c in df.columns if c not in (text, "segments")]
     d = df.select(*keep, text)
     n = len(keep)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())]))

@@ -43,8 +43,8 @@ def _encoding(path: str):
 
 
 def token_counts(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
-    """All columns but the text, and ``tokens``: its length in tokens of the tokenizer at ``path``."""
-    keep = [c for c in df.columns if c != text]
+    """All columns but the text (and any ``tokens`` of the input), and ``tokens``: its length in tokens of the tokenizer at ``path``."""
+    keep = [c for c in df.columns if c not in (text, "tokens")]
     d = df.select(*keep, text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
