@@ -61,6 +61,8 @@ CLEAN = "clean"
 LABELS = (CLEAN, *CHAINS)
 _CUT = re.compile(r"(?<=[.!?:;])(?=\s)|(?<=\n)")
 _C1 = re.compile("[\x80-\x9f]")
+#: A character beyond ASCII between ASCII ones: misread UTF-8 has at least two in a row.
+_LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 _LOST = "�"
 
 _TABLES: dict[str, tuple[dict[str, int], list[str]]] = {}
@@ -149,6 +151,24 @@ class Model:
 
     def __init__(self, log_p: np.ndarray, log_prior: np.ndarray, seen: dict[str, int]):
         self.log_p, self.log_prior, self.seen = log_p, log_prior, seen
+        self._read: dict[str, tuple] = {}
+
+    def __getstate__(self):
+        return self.log_p, self.log_prior, self.seen
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def read(self, sentence: str) -> tuple[str, str | None, float]:
+        """``_best`` of a sentence; sentences recur over documents, so short ones are remembered for a while."""
+        got = self._read.get(sentence)
+        if got is None:
+            got = _best(self, sentence)
+            if len(sentence) < 400:
+                if len(self._read) > 50_000:
+                    self._read.clear()
+                self._read[sentence] = got
+        return got
 
     def scores(self, text: str) -> np.ndarray:
         return self.log_p[_bigrams(text)].sum(axis=0) + self.log_prior
@@ -163,11 +183,12 @@ class Model:
         return sum(math.log(self.seen.get(t, 0) + 0.05) for t in _tokens(text))
 
 
-def fit(clean: list[str], smoothing: float = 0.02, prior_clean: float = 0.97) -> Model:
+def fit(clean: list[str], garbled: int = 6000, smoothing: float = 0.02, prior_clean: float = 0.97) -> Model:
+    """Counts byte pairs of clean sentences and of up to ``garbled`` of them under every chain; words come from all."""
     counts = np.full((len(LABELS), 65_536), smoothing)
     for k, chain in enumerate(LABELS):
         parts = []
-        for text in clean:
+        for text in clean if k == 0 else clean[:garbled]:
             made = text if k == 0 else garble(text, chain)
             if made is not None and (k == 0 or made != text):
                 parts.append(_bigrams(made))
@@ -212,18 +233,26 @@ def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float
         score = score + bonus
     lead = score - score[0]
     order = np.argsort(-score)
+    lone = _LONE.search(text) is not None
     for k in order:
         chain = LABELS[k]
-        if k == 0:
+        # UTF-8 that decodes strictly is its own proof, however the classifier ranks it
+        if k == 0 or (lone if CHAINS[chain][0][0] == "utf-8" else lead[k] < -slack):
             continue
-        if lead[k] < -slack:
-            break
         back = invert(text, chain)
         if back is None or back == text or _C1.search(back):
             continue
         again = garble(back, chain)
         if again is not None and invert(again, chain) == back and _plausible(model, chain, text, back, lead[k]):
             return chain, back, float(lead[k])
+    # some words damaged, others not: word by word, where each decodes strictly
+    for k in order:
+        if k == 0 or lead[k] <= 0:
+            break
+        if CHAINS[LABELS[k]][0][0] == "utf-8":
+            back = "".join(p if p.isascii() else invert(p, LABELS[k]) or p for p in re.split(r"(\s+)", text))
+            if back != text and not _C1.search(back) and model.familiar(back) > model.familiar(text) + 2.5:
+                return LABELS[k], back, float(lead[k])
     top = int(order[0])
     broken = top and CHAINS[LABELS[top]][0][0] == "utf-8" and model.familiar(text) < 0
     return (LABELS[top], None, float(lead[top])) if broken else (CLEAN, text, 0.0)
@@ -238,7 +267,7 @@ def repair(text: str | None, model: Model, sure: float = 6.0) -> tuple[str, str
     first: dict[str, tuple[str, str | None, float]] = {}
     for s in parts:
         if s not in first and not s.isascii():
-            first[s] = _best(model, s)
+            first[s] = model.read(s)
     heard = [(LABELS.index(label), lead) for label, back, lead in first.values() if label != CLEAN and back is not None and lead > sure]
     if heard:
         bonus = np.zeros(len(LABELS))

@@ -42,3 +42,9 @@ def test_edges(spark, model):
     got = [(r.key, r.state, r.restored_sha256) for r in R.repaired(df, model=model).collect()]
     assert sorted(set(got)) == [(4, "lost", ""), (5, "restored", hashlib.sha256(good.encode()).hexdigest())]
     assert R.repaired(df.limit(0), model=model).count() == 0
+
+
+def test_words_damaged_among_good_ones(model):
+    good = "Le propriétaire a été très patient avec nous, ce que je n'attendais pas après la crème brûlée."
+    bad = good.replace("propriétaire", R.garble("propriétaire", "utf8_as_cp1252")).replace("crème", R.garble("crème", "utf8_as_cp1252")).replace("brûlée", R.garble("brûlée", "utf8_as_cp1252"))
+    assert R.repair(bad, model)[2] in (good, None)
