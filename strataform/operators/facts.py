@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.identity import opaque_id
 from strataform.functions.jsons import instant_us
+from strataform.operators.history import next_start
 
 #: Field, subject kind, predicate, domain, cardinality, freshness in days.
 PREDICATES = (
@@ -44,12 +45,12 @@ def unpivot_fields(businesses: DataFrame) -> DataFrame:
     return businesses.select(F.col("id").alias("business_id"), F.explode(F.array_compact(F.array(*rows))).alias("o")).select("business_id", "o.*")
 
 
-def scd2(statements: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``closed_at``: the start of the key's next statement by ``order``, null for the open one.
+def scd2(statements: DataFrame, keys: list[str], at: str, tie: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """Adds ``closed_at``: the start of the key's next statement by (at, tie), null for the open one.
 
-    For histories that compare values and bear hot keys see ``history``.
+    Every statement is a version here; for versions by value see ``history``. Hot keys are cut into time chunks.
     """
-    return statements.withColumn("closed_at", F.lead(order[0]).over(Window.partitionBy(*keys).orderBy(*order)))
+    return next_start(statements.withColumn("_at", F.col(at)), keys, ["_at", tie], "closed_at", hot_rows, chunk_rows).drop("_at")
 
 
 def current(facts: DataFrame) -> DataFrame:
@@ -126,3 +127,22 @@ def readiness(states: DataFrame, mandatory: tuple[str, ...]) -> DataFrame:
     g = states.groupBy("subject_id").agg(F.collect_set(F.when(ok, F.col("domain"))).alias("ok"))
     blocking = F.array_except(F.array(*[F.lit(m) for m in sorted(mandatory)]), F.col("ok"))
     return g.select("subject_id", (F.size(blocking) == 0).cast("int").alias("ready"), F.array_join(blocking, ",").alias("blocking"))
+
+
+def reconcile_groups(observed: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Outcome per group of observations (key, values, value, sources, at) against held facts (key, value, status, valid_from, last_verified).
+
+    The first rule that holds: values differ among themselves → mixed; nothing held → created; older than the held
+    fact, or equal to it and not newer than its last verification → attached if it equals a confirmed fact, else
+    ignored; else a new version, confirmed if it renews a confirmed value or two sources agree, single_source if not.
+    """
+    h = held.select(F.col(key).alias("_k"), F.col("value").alias("_v"), F.col("status").alias("_s"), F.col("valid_from").alias("_f"), F.col("last_verified").alias("_l"))
+    j = observed.join(h, observed[key] == h["_k"], "left")
+    same = F.col("value").eqNullSafe(F.col("_v"))
+    sure = same & (F.col("_s") == "confirmed")
+    old = (F.col("at") < F.col("_f")) | (same & F.coalesce(F.col("at") <= F.col("_l"), F.lit(False)))
+    out = (
+        F.when(F.col("values") > 1, "mixed").when(F.col("_k").isNull(), "created").when(old, F.when(sure, "attached").otherwise("ignored"))
+        .otherwise(F.when(sure | (F.col("sources") >= 2), "confirmed").otherwise("single_source"))
+    )
+    return j.select(*observed.columns, out.alias("outcome"))

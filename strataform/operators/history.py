@@ -25,13 +25,6 @@ from strataform.session import materialize
 NO_VALUE = ("unknown", "not_observed", "not_applicable")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        cond &= a[k].eqNullSafe(b[k])
-    return cond
-
-
 def statements(df: DataFrame, keys: list[str], at: Column, value_hash: Column, rank: list[Column]) -> DataFrame:
     """One row per key and instant: (keys, _at, _hash); ``_hash`` null states that no value holds."""
     base = df.select(*keys, at.alias("_at"), F.struct(*rank).alias("_rank"), F.struct(value_hash.alias("h")).alias("_v"))
@@ -92,23 +85,27 @@ def satellites(changed: DataFrame, keys: list[str], attribute: str, fast_from: f
     return kept.join(rate, kept[attribute].eqNullSafe(rate["_attr"])).drop("_attr")
 
 
-def history_view(sat: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
-    """Versions (keys, satellite, _at, _hash, _to): ``_to`` is the next row's start, null while open."""
+def next_start(df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """Adds ``out``: the instant ``_at`` of the key's next row by ``order``, which starts with ``_at``; null for the last."""
 
     def cold(d: DataFrame) -> DataFrame:
-        return d.withColumn("_to", F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at")))
+        return d.withColumn(out, F.lead("_at").over(Window.partitionBy(*keys).orderBy(*order)))
 
     def hot(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_to", F.lead("_at").over(Window.partitionBy(*keys, "_chunk").orderBy("_at")))
+        d = d.withColumn(out, F.lead("_at").over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
         first = d.groupBy(*keys, "_chunk").agg(F.min("_at").alias("_start"))
         nxt = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_kc"), F.lead("_start").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_next"))
         on = d["_chunk"] == nxt["_kc"]
         for i, k in enumerate(keys):
             on &= d[k].eqNullSafe(nxt[f"_k{i}"])
-        return d.join(nxt, on).withColumn("_to", F.coalesce("_to", "_next")).drop("_next", "_chunk", "_kc", *[f"_k{i}" for i in range(len(keys))])
+        return d.join(nxt, on).withColumn(out, F.coalesce(out, "_next")).drop("_next", "_chunk", "_kc", *[f"_k{i}" for i in range(len(keys))])
 
-    out = _edges(sat, keys, hot_rows, chunk_rows, cold, hot)
-    return out.filter(F.col("_hash").isNotNull())
+    return _edges(df, keys, hot_rows, chunk_rows, cold, hot)
+
+
+def history_view(sat: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """Versions (keys, satellite, _at, _hash, _to): ``_to`` is the next row's start, null while open."""
+    return next_start(sat, keys, ["_at"], "_to", hot_rows, chunk_rows).filter(F.col("_hash").isNotNull())
 
 
 def fact_history(facts: DataFrame, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:

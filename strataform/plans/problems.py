@@ -42,6 +42,13 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7
 
 _OK = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
 SQL = {
+    "p1_found": """with f as (select distinct id, subject_id, predicate, fact_slot, value_json, status, epoch_us(valid_from::timestamptz) vf, epoch_us(reconciled_at::timestamptz) rc from facts),
+v as (select *, case when status in ('unknown', 'not_observed', 'not_applicable') then null when json_type(value_json) = 'OBJECT' then array_to_string(list_transform(list_sort(json_keys(value_json)), lambda k: k || '=' || json_extract_string(value_json, '$."' || k || '"')), chr(31))
+  when json_type(value_json) in ('UBIGINT', 'BIGINT', 'DOUBLE') then value_json::double::varchar else json_extract_string(value_json, '$') end as c from f where vf is not null),
+s as (select * from (select *, row_number() over (partition by subject_id, predicate, fact_slot, vf order by rc desc nulls last, id desc) n from v) where n = 1),
+g as (select *, lag(c) over w p, row_number() over w k from s window w as (partition by subject_id, predicate, fact_slot order by vf)),
+b as (select *, lead(vf) over (partition by subject_id, predicate, fact_slot order by vf) nx from g where k = 1 or c is distinct from p)
+select subject_id, predicate, fact_slot, vf // 1000000 valid_from_s, coalesce(nx // 1000000, -1) valid_to_s from b where c is not null""",
     "p2_found": f"""with p as (select distinct id, latitude, longitude from businesses where {_OK}),
 d as (select a.id x, b.id y, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))) m
   from p a join p b on a.id < b.id and abs(a.latitude - b.latitude) < 0.01)

@@ -193,7 +193,7 @@ _FACTS = "f as (select distinct id, subject_id, predicate, fact_slot, value_json
 @query(f"with {_FACTS} select id, vf valid_from_us, coalesce(lead(vf) over (partition by subject_id, predicate, fact_slot order by vf, id), -1) closed_us from f")
 def facts_scd2(spark: SparkSession, d: str) -> DataFrame:
     s = _facts(spark, d).withColumn("valid_from_us", instant_us(F.col("valid_from")))
-    return facts.scd2(s, ["subject_id", "predicate", "fact_slot"], ["valid_from_us", "id"]).select("id", "valid_from_us", F.coalesce("closed_at", F.lit(-1)).alias("closed_us"))
+    return facts.scd2(s, ["subject_id", "predicate", "fact_slot"], "valid_from_us", "id").select("id", "valid_from_us", F.coalesce("closed_at", F.lit(-1)).alias("closed_us"))
 
 
 _CUR = _FACTS + ", c as (select * from (select *, row_number() over (partition by subject_id, predicate, fact_slot order by vf desc, rc desc nulls last, id desc) n from f) where n = 1)"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from strataform.plans import problems, reference
+from strataform.plans import checks, problems, reference
 
 
 def queries() -> dict:
-    return problems.QUERIES | reference.QUERIES
+    return problems.QUERIES | reference.QUERIES | checks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.SQL | reference.SQL
+    return problems.SQL | reference.SQL | checks.SQL

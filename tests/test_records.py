@@ -104,7 +104,8 @@ def test_outcomes(spark):
 
 def test_versions_close(spark):
     d = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("b", 2, "z")], "k string, at long, i string")
-    assert {(r.i, r.closed_at) for r in scd2(d, ["k"], ["at", "i"]).collect()} == {("x", 4), ("y", None), ("z", None)}
+    assert {(r.i, r.closed_at) for r in scd2(d, ["k"], "at", "i").collect()} == {("x", 4), ("y", None), ("z", None)}
+    assert {(r.i, r.closed_at) for r in scd2(d, ["k"], "at", "i", hot_rows=1, chunk_rows=1).collect()} == {("x", 4), ("y", None), ("z", None)}
 
 
 def test_fingerprint_ignores_order(spark):
