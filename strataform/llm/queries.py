@@ -11,7 +11,7 @@ from strataform.llm.contamination import leaked
 from strataform.llm.encoding_repair import repaired
 from strataform.llm.languages import fit_on, label_code, labelled
 from strataform.llm.packing import TOKENIZER, packed, token_counts
-from strataform.llm.survivors import duplicate_groups, surviving_records, votes, winners
+from strataform.llm.survivors import FIELDS, duplicate_groups, surviving_records, votes, winners
 from strataform.sources.tables import table
 
 
@@ -77,4 +77,22 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_packed": p8_packed, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+
+_BLANK = "('', '-', '--', '---', '.', '?', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'not available', 'tbd')"
+
+
+def _held(key: str) -> str:
+    """SQL for a field's value, null where it stands for none."""
+    return f"case when lower(trim(j->>'{key}')) not in {_BLANK} then trim(j->>'{key}') end"
+
+
+_FIELDS = ", ".join(f"('{f}', {_held(f) if f != 'website' else f'coalesce({_held(f)}, {_held("web_site")})'})" for f in FIELDS)
+SQL: dict[str, str] = {
+    "p5_found": f"""with recursive k as (select id, unnest(['p' || place_id, 'c' || cid, 'd' || data_id]) k, unnest([place_id, cid, data_id]) v from businesses),
+u as (select id, k from k where lower(trim(v)) not in {_BLANK} and lower(trim(v)) not in ('0', '0x0', '0x0:0x0', '-1')),
+r as (select id a, id b from u union select r.a, y.id from r join u x on x.id = r.b join u y on y.k = x.k),
+g as (select a id, min(b) group_id from r group by 1 having count(*) > 1),
+m as (select g.group_id, b.id, coalesce(status = 'complete', false) done, epoch_us(last_seen_at::timestamptz) seen, raw_json::json j from g join (select id, last_seen_at, last_run_id, raw_json from businesses where json_valid(raw_json)) b on b.id = g.id left join (select id rid, status from runs) on rid = last_run_id),
+f as (select group_id, id, done, seen, t.f field_name, t.v from m, lateral (select * from (values {_FIELDS}) as x(f, v)) t where t.v is not null)
+select group_id, field_name, id business_id from (select *, row_number() over (partition by group_id, field_name order by done desc, seen desc nulls last, id) n from f) where n = 1""",
+}
