@@ -11,8 +11,7 @@ _EXPONENT = r"\d[eE][-+]?\d"
 
 def _plain_number(token: Column) -> Column:
     """A number token without exponent and without trailing zeros; as it is where 38 digits don't hold it."""
-    d = F.expr("try_cast(x as decimal(38,15))") if token is None else token.try_cast("decimal(38,15)")
-    text = d.cast("string")
+    text = token.try_cast("decimal(38,15)").cast("string")
     return F.coalesce(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""), token)
 
 

@@ -48,43 +48,79 @@ def _edges(df: DataFrame, keys: list[str], hot_rows: int, chunk_rows: int, cold,
     return cold(few).unionByName(hot(many))
 
 
-def changes(stated: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
-    """The rows a satellite gets: (keys, _at, _hash, _first), only where the hash differs from the one before."""
-    prev = F.struct("_hash")
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """Adds ``out``: struct(value) of the key's row before by ``order``, which starts with ``_at``; null for the first."""
+    held = F.struct(F.col(value).alias("value"))
 
     def cold(d: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("_at")
-        return d.withColumn("_p", F.lag(prev).over(w))
+        return d.withColumn(out, F.lag(held).over(Window.partitionBy(*keys).orderBy(*order)))
 
     def hot(d: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
-        d = d.withColumn("_p", F.lag(prev).over(w))
-        last = d.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_hash"), "_at").alias("_last"))
-        # one row per chunk of about chunk_rows statements, so this window is smaller by that factor
-        last = last.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
-        e = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_kc"), "_before")
-        on = d["_chunk"] == e["_kc"]
+        d = d.withColumn(out, F.lag(held).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
+        last = d.groupBy(*keys, "_chunk").agg(F.max_by(held, F.struct(*order)).alias("_last"))
+        # one row per chunk of about chunk_rows rows, so this window is smaller by that factor
+        last = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_kc"), F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
+        on = d["_chunk"] == last["_kc"]
         for i, k in enumerate(keys):
-            on &= d[k].eqNullSafe(e[f"_k{i}"])
-        return d.join(e, on).withColumn("_p", F.coalesce("_p", "_before")).select(*keys, "_at", "_hash", "_p")
+            on &= d[k].eqNullSafe(last[f"_k{i}"])
+        return d.join(last, on).withColumn(out, F.coalesce(out, "_before")).drop("_before", "_chunk", "_kc", *[f"_k{i}" for i in range(len(keys))])
 
-    out = _edges(stated, keys, hot_rows, chunk_rows, cold, hot)
-    return out.filter(F.col("_p").isNull() | ~F.col("_p")["_hash"].eqNullSafe(F.col("_hash"))).select(
-        *keys, "_at", "_hash", F.col("_p").isNull().alias("_first")
-    )
+    return _edges(df, keys, hot_rows, chunk_rows, cold, hot)
 
 
-def satellites(changed: DataFrame, keys: list[str], attribute: str, fast_from: float = 4.0) -> DataFrame:
-    """Appends the changed rows to the satellite ``slow`` or ``fast`` of their attribute, by changes per key.
+def changes(stated: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """The rows a satellite gets: (keys, _at, _hash, _first), only where the hash differs from the one before."""
+    d = previous(stated.select(*keys, "_at", "_hash"), keys, ["_at"], "_hash", "_p", hot_rows, chunk_rows)
+    d = d.filter(F.col("_p").isNull() | ~F.col("_p")["value"].eqNullSafe(F.col("_hash")))
+    return d.select(*keys, "_at", "_hash", F.col("_p").isNull().alias("_first"))
 
-    The result is a written table partitioned by ``satellite``; later loads append to it.
-    """
+
+def satellites(changed: DataFrame, keys: list[str], attribute: str, fast_from: float = 4.0) -> DataFrame:
+    """The changed rows with the ``satellite`` of their attribute: fast from ``fast_from`` changes per key on, else slow."""
     kept = materialize(changed, "changes")
     rate = kept.groupBy(attribute).agg((F.count("*") / F.greatest(F.count_if("_first"), F.lit(1))).alias("_rate"))
     rate = rate.select(F.col(attribute).alias("_attr"), F.when(F.col("_rate") >= fast_from, "fast").otherwise("slow").alias("satellite"))
     return kept.join(rate, kept[attribute].eqNullSafe(rate["_attr"])).drop("_attr")
 
 
+def append(rows: DataFrame, path: str) -> None:
+    """Appends rows to the satellites under ``path``, one folder each; nothing there is changed or removed."""
+    rows.write.mode("append").partitionBy("satellite").parquet(path)
+
+
+def _last(sat: DataFrame, keys: list[str]) -> DataFrame:
+    """(_k0 …, _end, _held): instant and hash of each key's last row."""
+    last = sat.groupBy(*keys).agg(F.max("_at").alias("_end"), F.max_by(F.struct("_hash"), "_at").alias("_held"))
+    return last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_end", "_held")
+
+
+def new_rows(sat: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows a further load of statements adds to a satellite: those that change what its key held last.
+
+    For keys with statements no later than their last row (see ``late_keys``) only the later ones count here.
+    """
+    last = _last(sat, keys)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= stated[k].eqNullSafe(last[f"_k{i}"])
+    j = stated.join(last, on, "left").filter(F.col("_end").isNull() | (F.col("_at") > F.col("_end")))
+    j = j.select(*keys, "_at", "_hash", "_end", "_held")
+    c = changes(j.select(*keys, "_at", "_hash"), keys)
+    c = c.join(last, [c[k].eqNullSafe(last[f"_k{i}"]) for i, k in enumerate(keys)], "left")
+    repeats = F.col("_first") & F.col("_held").isNotNull() & F.col("_held")["_hash"].eqNullSafe(F.col("_hash"))
+    return c.filter(~repeats).select(*keys, "_at", "_hash", (F.col("_first") & F.col("_end").isNull()).alias("_first"))
+
+
+def late_keys(sat: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with statements no later than their last row. An insert-only satellite has dropped repetitions that such a
+    statement may part, so these keys are built anew from all their statements."""
+    last = _last(sat, keys)
+    on = F.col("_at") <= F.col("_end")
+    for i, k in enumerate(keys):
+        on &= stated[k].eqNullSafe(last[f"_k{i}"])
+    return stated.join(last, on, "left_semi").select(*keys).distinct()
+
+
 def next_start(df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
     """Adds ``out``: the instant ``_at`` of the key's next row by ``order``, which starts with ``_at``; null for the last."""
 

@@ -27,6 +27,11 @@ def gaps(df: DataFrame, other: DataFrame, on: Column) -> DataFrame:
     return df.join(other, on, "left_anti")
 
 
+def absent(new: DataFrame, held: DataFrame, *key: str) -> DataFrame:
+    """The new rows, each key once, that may be appended without repeating what is held."""
+    return new.dropDuplicates(list(key)).join(held.select(*key), list(key), "left_anti")
+
+
 def unique_check(df: DataFrame, name: str, *key: str) -> DataFrame:
     bad = df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
     return bad.agg(F.lit(name).alias("check_name"), F.count("*").alias("bad"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataform.operators.history import previous
+
 
 def failure_streaks(sessions: DataFrame, key: str, at: str, failed: Column, now_us: int, horizon_us: int) -> DataFrame:
     """(key, streak, streak_recent): failures since the last success, and those of them within the horizon.
@@ -58,8 +60,8 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")
 
 
-def status_moves(sessions: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
-    """(key, before, after, n): counts of status changes along a key's history."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = sessions.select(key, F.lag(status).over(w).alias("before"), F.col(status).alias("after"))
+def status_moves(sessions: DataFrame, key: str, at: str, tie: str, status: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """(before, after, n): counts of status changes along each key's history by (at, tie); hot keys in time chunks."""
+    d = previous(sessions.select(key, F.col(at).alias("_at"), tie, status), [key], ["_at", tie], status, "_p", hot_rows, chunk_rows)
+    d = d.select(F.col("_p")["value"].alias("before"), F.col(status).alias("after"))
     return d.filter("before is not null and before <> after").groupBy("before", "after").agg(F.count("*").alias("n"))

@@ -229,3 +229,18 @@ def dossier_sections(spark: SparkSession, d: str) -> DataFrame:
     # sections are counted apart, so that no join multiplies one by another
     per = [p.groupBy("business_id", "section").agg(F.count("*").alias("items"), F.coalesce(F.max("at"), F.lit(-1)).alias("last_us")) for p in parts]
     return per[0].unionByName(per[1]).unionByName(per[2]).unionByName(per[3])
+
+
+@query(f"""with {_CUR}, {_EV} select business_id, 'fact' section, c.id item_key, concat_ws('|', predicate, fact_slot, status) item from c join maps_business_location_links on location_id = subject_id union all select business_id, 'evidence', id, concat_ws('|', source_id, source_role, status) from e where business_id is not null
+union all select distinct business_id, 'review', raw_sha256, identity_key from parsed_reviews where business_id is not null union all select business_id, 'document', doc_id::varchar, concat_ws('|', source, coalesce(lang, '')) from documents where business_id is not null""")
+def dossier_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Everything known of every business as rows (business, section, key, item): a document that no task must hold whole."""
+    links = table(spark, d, "maps_business_location_links", "business_id", F.col("location_id").alias("subject_id"))
+    row = lambda section, key, *item: ("business_id", F.lit(section).alias("section"), F.col(key).cast("string").alias("item_key"), F.concat_ws("|", *item).alias("item"))
+    parts = [
+        facts.current(_facts(spark, d)).join(links, "subject_id").select(*row("fact", "id", "predicate", "fact_slot", "status")),
+        _evidence(spark, d).select(*row("evidence", "id", "source_id", "source_role", "status")),
+        table(spark, d, "parsed_reviews", "raw_sha256", "identity_key", "business_id").distinct().select(*row("review", "raw_sha256", "identity_key")),
+        table(spark, d, "documents", "doc_id", "business_id", "source", "lang").select(*row("document", "doc_id", "source", F.coalesce("lang", F.lit("")))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).filter("business_id is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.operators.flatten import nested_objects
+from strataform.operators.flatten import child_table, nested_objects
 from strataform.operators.history import fact_history
 from strataform.operators.spatial import near_and_within
 from strataform.operators.timestamps import normalise
@@ -27,6 +27,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested_objects(b, "id", "raw_json", with_fields=False).select(F.col("id").alias("business_id"), "parent_path", "path")
 
 
+def p4_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """One of the flat tables: reviews with their own key, position and columns."""
+    objects = nested_objects(table(spark, d, "businesses", "id", "raw_json"), "id", "raw_json")
+    return child_table(objects, "user_reviews", "review_id string, Rating long, language string, posted_at_unix_micros long, text_original string")
+
+
+def p4_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of reviews; ``parent_key`` is the ``row_key`` of the review."""
+    objects = nested_objects(table(spark, d, "businesses", "id", "raw_json"), "id", "raw_json")
+    return child_table(objects, "user_reviews.images", "url string")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     hints = "time_zone string, locale string"
     e = table(spark, d, "evidence_items", "id", "source_id", "retrieved_at", "metadata_json")
@@ -38,7 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("table_name", "row_key", "instant_us").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_reviews": p4_reviews, "p4_images": p4_images, "p7_found": p7_found}
 
 _OK = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
 SQL = {

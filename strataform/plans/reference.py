@@ -464,7 +464,7 @@ def page_role(spark: SparkSession, d: str) -> DataFrame:
 @query("""with l as (select business_id, page_url, (case regexp_extract(page_url, '^https?://[^/?#]*(/[^?#]*)?', 1) when '/menu' then 100 when '/about' then 80 when '/contact' then 100 else 0 end)::bigint priority from (select distinct business_id, page_url from documents where page_url is not null and business_id is not null))
 select business_id, page_url, priority from (select *, row_number() over (partition by business_id order by priority desc, page_url) n from l) where n <= 2""")
 def link_priority_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The two best pages of every site. A site's pages are few distinct URLs, so the window is bounded by the site."""
+    """The two best pages of every site; Spark limits each group before the shuffle, so a hot site sends few rows."""
     from pyspark.sql import Window
 
     docs = table(spark, d, "documents", "business_id", "page_url").filter("page_url is not null and business_id is not null").distinct()
@@ -520,7 +520,8 @@ def keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select before, after, count(*) n from (select lag(event_type) over (partition by user_id order by ts, event_id) before, event_type after from events) where before is not null and before <> after group by 1, 2")
 def status_moves(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.status_moves(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    e = table(spark, d, "events", "user_id", "ts", "event_id", "event_type").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return sessions.status_moves(e, "user_id", "at", "event_id", "event_type")
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') as hour, event_type, count(*) n, count(distinct user_id) users from events group by 1, 2")

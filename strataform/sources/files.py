@@ -66,6 +66,32 @@ def canonical(o) -> str:
     return json.dumps(o, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def strict_json(text: str):
+    """A JSON document; repeated keys, NaN and infinities are errors."""
+
+    def pairs(items):
+        keys = [k for k, _ in items]
+        if len(set(keys)) < len(keys):
+            raise ValueError(f"repeated keys in {keys}")
+        return dict(items)
+
+    def constant(name):
+        raise ValueError(f"{name} is no JSON")
+
+    return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+
+
+def read_plan(path: str, sha256: str) -> dict:
+    """A plan whose bytes have the digest given; anything else is an error."""
+    data = Path(path).read_bytes()
+    if hashlib.sha256(data).hexdigest() != sha256:
+        raise ValueError("the plan's bytes have another digest")
+    o = strict_json(data.decode())
+    if (canonical(o) + "\n").encode() != data:
+        raise ValueError("the plan isn't in canonical form")
+    return o
+
+
 def write_plan(o: dict, path: str) -> str:
     """Writes a document to a new file and gives its SHA-256; an existing file is an error."""
     data = (canonical(o) + "\n").encode()

@@ -1,7 +1,7 @@
 import json
 
 from strataform.operators.flatten import array_paths, child_table, nested_objects
-from strataform.plans.problems import p4_found
+from strataform.plans.problems import p4_found, p4_images, p4_reviews
 
 
 def walk(v, gen, path, near, arrays, out):
@@ -80,3 +80,9 @@ def test_shapes(spark):
     t = child_table(nested_objects(df, "id", "raw"), "a.b", "c int").orderBy("id", "ordinal").collect()
     assert [(r.id, r.ordinal, r.c) for r in t] == [(1, 0, 1), (1, 2, 2), (2, 0, 9)] and all(r.parent_key for r in t)
     assert nested_objects(df.limit(0), "id", "raw").count() == 0
+
+
+def test_children_find_their_parents(spark, data):
+    r, i = p4_reviews(spark, data), p4_images(spark, data)
+    assert r.count() == r.select("row_key").distinct().count() > 0
+    assert i.count() > 0 and i.join(r, i["parent_key"] == r["row_key"], "left_anti").count() == 0

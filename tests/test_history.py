@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from strataform.functions.jsons import canonical_json
+from strataform.operators import history
 from strataform.operators.history import NO_VALUE, fact_history
 from strataform.plans.problems import p1_found
 
@@ -77,3 +78,23 @@ def test_edges(spark):
     t = 1_704_067_200
     assert got == {("s", t, t + 2 * day), ("s", t + 2 * day, t + 3 * day), ("s", t + 4 * day, -1), (None, t, -1)}
     assert fact_history(spark.createDataFrame([], COLS)).count() == 0
+
+
+def test_loads_in_order_append_what_one_load_gives(spark, data, tmp_path):
+    keys = ["subject_id", "predicate", "fact_slot"]
+    facts = spark.read.parquet(f"{data}/facts.parquet")
+    held = F.when(~F.col("status").isin(*NO_VALUE), F.xxhash64(canonical_json(F.col("value_json"))))
+    at = history.instant_us(F.col("valid_from"))
+    stated = history.statements(facts, keys, at, held, [history.instant_us(F.col("reconciled_at")), F.col("id")]).cache()
+    mid = stated.approxQuantile("_at", [0.5], 0.0)[0]
+    path = str(tmp_path / "sat")
+    first = history.satellites(history.changes(stated.filter(F.col("_at") <= mid), keys), keys, "predicate")
+    history.append(first, path)
+    later = stated.filter(F.col("_at") > mid)
+    sat = spark.read.parquet(path)
+    assert history.late_keys(sat, later, keys).count() == 0
+    history.append(history.new_rows(sat, later, keys).withColumn("satellite", F.lit("fast")), path)
+    whole = lambda d: {tuple(r) for r in history.history_view(d, keys).select(*keys, "_at", "_to").collect()}
+    assert whole(spark.read.parquet(path)) == whole(history.changes(stated, keys))
+    early = stated.orderBy("_at").limit(1)
+    assert history.late_keys(spark.read.parquet(path), early, keys).count() == 1

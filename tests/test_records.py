@@ -113,6 +113,7 @@ def test_fingerprint_ignores_order(spark):
     assert quality.fingerprint(a, "id", "s").first() == quality.fingerprint(a.orderBy(F.desc("id")).repartition(5), "id", "s").first()
     assert quality.fingerprint(a, "id", "s").first() != quality.fingerprint(a.filter("id <> 3"), "id", "s").first()
     assert quality.difference(a, a).count() == 0
+    assert quality.absent(a.union(a), a.filter("id < 90"), "id").count() == 10
     assert [tuple(r) for r in quality.difference(a.union(a.limit(1)), a).collect()] == [("missing", 1)]
 
 
@@ -121,3 +122,9 @@ def test_review_fields(spark):
     r = spark.createDataFrame([(json.dumps(o),), ("{bad",), (None,)], "raw string").select(normalise(F.col("raw")).alias("r")).select("r.*").collect()
     assert (r[0].rating, r[0].text_original, r[0].posted_us, r[0].reply_text) == (4.0, "d", None, "r") and "Name" not in r[0].asDict()
     assert r[2].rating is None
+
+
+def test_status_moves_with_hot_keys(spark, data):
+    e = spark.read.parquet(f"{data}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    rows = lambda d: {tuple(r) for r in d.collect()}
+    assert rows(sessions.status_moves(e, "user_id", "at", "event_id", "event_type")) == rows(sessions.status_moves(e, "user_id", "at", "event_id", "event_type", hot_rows=3, chunk_rows=2))

@@ -41,6 +41,12 @@ def test_sinks_never_overwrite(spark, tmp_path):
     assert first == files.write_plan({"a": [1.5], "b": 1}, str(tmp_path / "again.json"))
     with pytest.raises(FileExistsError):
         files.write_plan({}, p)
+    assert files.read_plan(p, first) == {"a": [1.5], "b": 1}
+    with pytest.raises(ValueError):
+        files.read_plan(p, "0" * 64)
+    for bad in ('{"a":1,"a":2}', '{"a":NaN}', "[Infinity]"):
+        with pytest.raises(ValueError):
+            files.strict_json(bad)
     files.backup(spark.range(3), str(tmp_path / "b"))
     with pytest.raises(Exception, match="(?i)exists"):
         files.backup(spark.range(3), str(tmp_path / "b"))
