@@ -192,12 +192,15 @@ def with_city(p: DataFrame, sure: float = 0.9) -> DataFrame:
 def candidate_pairs(classes: DataFrame, bands: int, q: int = 2) -> DataFrame:
     """(a, b, street_a, street_b) of classes that share a band; classes: (cls, city, number, street, zone).
 
+    Shingles are the tokens and q-grams of the street without type and compass point. A band is one MinHash value: within
+    a city and number streets are few, and spellings with two typing errors share but a quarter of their shingles.
+
     A street lies in one zone, so different spellings in two known zones are no candidates.
     """
     core = F.regexp_replace(F.regexp_replace("street", r"\b[td]:\S+", ""), r"\s+", " ")
     core = F.concat(F.lit("^"), F.when(F.trim(core) != "", F.trim(core)).otherwise(F.col("street")), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("core") - (q - 1))), lambda i: F.substring(F.col("core"), i, F.lit(q))))
-    c = classes.withColumn("core", core).withColumn("grams", grams)
+    c = classes.withColumn("core", core).withColumn("grams", F.array_union(grams, F.filter(F.split("core", "[ ^$]+"), lambda t: t != "")))
 
     def least(seed: int):
         return F.array_min(F.transform("grams", lambda g: F.xxhash64(F.lit(seed), g)))
@@ -222,7 +225,7 @@ def verified(pairs: DataFrame, most: float) -> DataFrame:
     return pairs.select("a", "b", "street_a", "street_b").mapInArrow(scan, "a long, b long")
 
 
-def same_building(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 20, most: float = 0.58, block_rows: int = 2048) -> DataFrame:
+def same_building(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 24, most: float = 0.58, block_rows: int = 2048) -> DataFrame:
     """(id_a, id_b), the smaller first, of rows whose addresses denote the same building."""
     rows = with_city(materialize(parsed(df, id_col, address), "addresses"))
     rows = materialize(rows.select("id", "city", "number", "street", "zone", F.xxhash64("city", "number", "street", "zone").alias("cls")), "located")

@@ -8,7 +8,7 @@ and some texts are mixed, each sentence first takes the label its words have mos
 
 Defined results: null texts and texts without letters have no segments; a text with a single short segment keeps it
 however unsure; longer texts drop segments of fewer than ``min_words`` words or below ``min_confidence`` (names,
-quotes); copies get equal results; texts of any length are read whole, in windows that overlap.
+quotes); a field fitted without any labelled text finds no segments; copies get equal results; texts of any length are read whole, in windows that overlap.
 """
 
 from __future__ import annotations
@@ -243,6 +243,8 @@ def runs(post: np.ndarray, min_words: int, min_confidence: float) -> list[tuple[
 
 def segments(texts: list[str | None], field: Field, min_words: int = 3, min_confidence: float = 0.6) -> list[list[tuple[int, int, str, float, int]]]:
     """Per text: (start, end, language, confidence, words) of its segments, in characters."""
+    if not field.weights.any():
+        return [[] for _ in texts]
     spans = [words(t) if t else [] for t in texts]
     jobs, owner = [], []
     for i, sp in enumerate(spans):

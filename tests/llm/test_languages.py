@@ -45,6 +45,12 @@ def test_edges(spark, field):
     assert labelled(df.limit(0), "t", field).count() == 0
 
 
+def test_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([(1, "some words here", None), (2, "x", "und")], "id long, t string, l string")
+    field = fit_on(df, F.col("t"), F.col("l"), F.col("id"))
+    assert all(r.segments == [] for r in labelled(df, "t", field).collect())
+
+
 def test_labels(spark):
     cases = [("EN", "en"), ("en_GB", "en"), ("pt-BR", "pt"), ("deu", "de"), ("Dutch", "nl"), (" fr ", "fr"), ("und", None), ("xx", None), ("", None), (None, None), ("sv", None)]
     got = spark.createDataFrame(cases, "l string, c string").select(label_code(F.col("l")).alias("g"), "c").collect()
