@@ -9,7 +9,8 @@ Scale. Items are spread by hash over shards of about ``shard_tokens`` tokens, ea
 text spread alike. The bins left less than ``full`` full are then taken apart and packed again in as few shards as their
 tokens need, so that no shard leaves its own open bins behind. The number of shards follows the total of tokens.
 
-Defined results: null and empty texts have no tokens and are in no container; a repeated id is an item of its own;
+Defined results: null and empty texts have no tokens and are in no container, nor are rows without an id; a row without
+a cluster is its own; a null source conflicts with none; a repeated id counts once;
 ties in size are broken by cluster and id; capacities that are null or not positive hold nothing.
 """
 
@@ -136,7 +137,8 @@ def packed(items: DataFrame, targets: DataFrame, shard_tokens: int = 4_000_000,
         raise ValueError(f"more than {max_targets} capacities")
     each = F.array(*[F.struct(F.lit(r.target_id).cast("long").alias("target_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in t])
     each = each if t else F.expr("cast(array() as array<struct<target_id:bigint,capacity:bigint>>)")
-    pieces = items.filter("tokens > 0").withColumn("t", F.explode(each)).select("doc_id", "source", "cluster", "tokens", "t.target_id", "t.capacity")
+    own = F.coalesce("cluster", F.xxhash64("doc_id", F.lit("alone"))).alias("cluster")
+    pieces = items.filter("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "source", own, "tokens", F.explode(each).alias("t")).select("doc_id", "source", "cluster", "tokens", "t.target_id", "t.capacity")
     pieces = pieces.withColumn("piece", F.explode(F.expr("sequence(0L, (tokens - 1) div capacity)")))
     pieces = pieces.withColumn("start_token", F.col("piece") * F.col("capacity")).withColumn("tokens", F.least("capacity", F.col("tokens") - F.col("start_token")))
     pieces = pieces.select("target_id", "capacity", "doc_id", "piece", "start_token", "tokens", "source", "cluster")

@@ -55,10 +55,15 @@ def test_whole_table(spark, data):
 
 def test_edges(spark):
     rows = [(k, "s", 1, 30) for k in range(200)] + [(1000, None, 2, 0), (1001, None, 3, None), (1002, "s", 4, 250), (1002, "s", 4, 250)]
+    rows += [(None, "s", 5, 10), (2000, None, None, 10), (2001, None, None, 10)]
     items = spark.createDataFrame(rows, "doc_id long, source string, cluster long, tokens long")
     targets = spark.createDataFrame([(1, 100, "x"), (2, None, "x"), (3, 0, "x"), (1, 100, "x")], "target_id long, capacity_tokens long, piece string")
     got = packed(items, targets, shard_tokens=500).collect()
-    assert {r.target_id for r in got} == {1} and sum(r.tokens for r in got) == 200 * 30 + 500
+    assert {r.target_id for r in got} == {1} and sum(r.tokens for r in got) == 200 * 30 + 250 + 20
+    fill = {}
+    for r in got:
+        fill[r.container] = fill.get(r.container, 0) + r.tokens
+    assert max(fill.values()) <= 100
     hot = [r.container for r in got if r.doc_id < 1000]
     assert len(hot) == len(set(hot)) == 200  # copies never share a container
     assert packed(items.limit(0), targets).count() == 0 and packed(items, targets.limit(0)).count() == 0
