@@ -55,36 +55,33 @@ def points(df: DataFrame, id_col: str = "id", lat: str = "latitude", lon: str =
 
 
 class Tree:
-    """Node tables per level; ``kids[i]``: nodes of depth i with their parent's key, leaves carried down as their own child."""
+    """All nodes of all levels, from one aggregation. ``kids(depth)``: nodes of a level with their parent's key, and the
+    leaves of the levels above, each as its own child."""
 
     def __init__(self, pts: DataFrame, leaf_rows: int, block_rows: int):
         boxes = [f(c).alias(f"{c}{s}") for c in _BOX for f, s in ((F.min, 0), (F.max, 1))]
         up = [f(f"{c}{s}").alias(f"{c}{s}") for c in _BOX for f, s in ((F.min, 0), (F.max, 1))]
-        cols = ["key", "n", *[f"{c}{s}" for c in _BOX for s in (0, 1)]]
-        fine = materialize(pts.groupBy(F.col("cell").alias("key")).agg(F.count("*").alias("n"), *boxes), "cells")
-        by_level = {LEVELS[-1]: fine}
-        for i in range(len(LEVELS) - 2, -1, -1):
-            below = LEVELS[i + 1]
-            by_level[LEVELS[i]] = by_level[below].withColumn("key", _coarser(below, below - LEVELS[i])).groupBy("key").agg(F.sum("n").alias("n"), *up)
-        # open: nodes whose parent was split
-        opened = by_level[LEVELS[0]].select(*cols, F.lit(0).cast("long").alias("parent"))
-        self.kids, carried, leaf_keys = [], None, []
-        for i, level in enumerate(LEVELS):
-            leaf = F.lit(True) if i == len(LEVELS) - 1 else F.col("n") <= leaf_rows
-            layer = opened.withColumn("leaf", leaf)
-            layer = layer if carried is None else layer.unionByName(carried.withColumn("parent", F.col("key")))
-            layer = materialize(layer, f"nodes{level}")
-            self.kids.append(layer)
-            carried = layer.filter("leaf")
-            leaf_keys.append(layer.filter(F.col("leaf") & (F.col("parent") != F.col("key"))).select("key", "n"))
-            if i + 1 < len(LEVELS):
-                below = LEVELS[i + 1]
-                split = layer.filter(~F.col("leaf")).select(F.col("key").alias("parent"))
-                opened = by_level[below].withColumn("parent", _coarser(below, below - level)).join(split, "parent", "left_semi").select(*cols, "parent")
+        last = LEVELS[-1]
+        fine = pts.groupBy(F.col("cell").alias("key")).agg(F.count("*").alias("n"), *boxes)
+        at = [F.struct(F.lit(lv).alias("level"), (F.col("key") if lv == last else _coarser(last, last - lv)).alias("key")) for lv in LEVELS]
+        nodes = fine.withColumn("at", F.explode(F.array(*at))).drop("key").select("at.level", "at.key", "n", *[f"{c}{s}" for c in _BOX for s in (0, 1)])
+        nodes = nodes.groupBy("level", "key").agg(F.sum("n").alias("n"), *up)
+        parent = F.lit(0).cast("long")
+        for above, lv in zip(LEVELS, LEVELS[1:]):
+            parent = F.when(F.col("level") == lv, _coarser(lv, lv - above)).otherwise(parent)
+        nodes = materialize(nodes.withColumn("parent", parent), "nodes", rebalance=True)
+        split = nodes.filter(F.col("n") > leaf_rows).select(F.col("key").alias("parent"))
+        # a node is part of the tree if its parent was split
+        self.nodes = nodes.filter("parent = 0").unionByName(nodes.filter("parent <> 0").join(split, "parent", "left_semi").select(*nodes.columns))
+        self.nodes = materialize(self.nodes.withColumn("leaf", (F.col("n") <= leaf_rows) | (F.col("level") == last)), "tree", ["level"], rebalance=True)
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
-        self.leaves = self.kids[-1].select("key", blocks.alias("blocks"))
+        self.leaves = self.nodes.filter("leaf").select("key", blocks.alias("blocks"))
         self.points = self._with_leaf(pts)
 
+    def kids(self, depth: int) -> DataFrame:
+        own = self.nodes.filter(F.col("level") == LEVELS[depth])
+        return own.unionByName(self.nodes.filter(F.col("leaf") & (F.col("level") < LEVELS[depth])).withColumn("parent", F.col("key")))
+
     def _with_leaf(self, pts: DataFrame) -> DataFrame:
         """Points with leaf key and block. A point's leaf is the one leaf among its cell's ancestors."""
         p, last = pts.withColumn("key", F.col("cell")), LEVELS[-1]
@@ -115,7 +112,8 @@ def near_pairs(tree: Tree, metres: float) -> DataFrame:
     names = ["key", "parent", "leaf", *[f"{c}{s}" for c in ("x", "y", "z") for s in (0, 1)]]
     keep = [f"{s}_{c}" for s in "ab" for c in names if c != "parent"] + ["sure"]
     pairs, done = None, []
-    for depth, kids in enumerate(tree.kids):
+    for depth in range(len(LEVELS)):
+        kids = tree.kids(depth)
         a, b = _side(kids, "a", names), _side(kids, "b", names)
         if pairs is None:
             step = a.join(b, (F.col("a_parent") == F.col("b_parent")) & (F.col("a_key") <= F.col("b_key"))).withColumn("sure", F.lit(False))
@@ -126,9 +124,9 @@ def near_pairs(tree: Tree, metres: float) -> DataFrame:
             step = half.join(b, F.col("p_b") == F.col("b_parent")).filter((F.col("p_a") != F.col("p_b")) | (F.col("a_key") <= F.col("b_key")))
         step = step.filter(F.col("sure") | (_gap2() <= reach2 * (1 + 1e-6)))
         step = step.withColumn("sure", F.col("sure") | (_span2() <= reach2 * (1 - 1e-6))).select(*keep)
-        last = depth == len(tree.kids) - 1
+        last = depth == len(LEVELS) - 1
         both = F.col("a_leaf") & F.col("b_leaf")
-        step = step if last else materialize(step, f"pairs{depth}")
+        step = step if last else materialize(step, f"pairs{depth}", rebalance=True)
         done.append((step if last else step.filter(both)).select("a_key", "b_key", "sure"))
         pairs = step.filter(~both)
     leaves = done[0]
@@ -160,8 +158,8 @@ def containing_regions(tree: Tree, regions: DataFrame, id_col: str = "area_id")
     box = ["area", "min_lat", "max_lat", "min_lon", "max_lon"]
     todo = r.select(*box, _key(LEVELS[0], F.col("ix"), F.col("iy")).alias("up"), F.lit(False).alias("sure"))
     done = []
-    for depth, kids in enumerate(tree.kids):
-        k = kids.select("key", "parent", "leaf", "lat0", "lat1", "lon0", "lon1")
+    for depth in range(len(LEVELS)):
+        k = tree.kids(depth).select("key", "parent", "leaf", "lat0", "lat1", "lon0", "lon1")
         step = todo.join(k, F.col("up") == F.col("key" if depth == 0 else "parent"))
         apart = (F.col("lat1") < F.col("min_lat")) | (F.col("lat0") > F.col("max_lat")) | (F.col("lon1") < F.col("min_lon")) | (F.col("lon0") > F.col("max_lon"))
         inside = (F.col("lat0") >= F.col("min_lat")) & (F.col("lat1") <= F.col("max_lat")) & (F.col("lon0") >= F.col("min_lon")) & (F.col("lon1") <= F.col("max_lon"))

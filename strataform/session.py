@@ -51,12 +51,16 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
-    Cuts the lineage, survives the loss of executors, and lets a result that is used twice be computed once.
+    Cuts the lineage, survives the loss of executors, and lets a result that is used twice be computed once. With
+    ``rebalance`` the rows are first spread over files of the advisory size, so that a table that is read again and again
+    is neither many tiny files nor a few huge ones.
     """
     spark = df.sparkSession
+    if rebalance:
+        df = df.hint("rebalance", *(partition_by or []))
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
