@@ -156,19 +156,15 @@ def containing_regions(tree: Tree, regions: DataFrame, id_col: str = "area_id")
     r = r.withColumn("ix", F.explode(F.sequence(cell(F.col("min_lon"), 180, 360), cell(F.col("max_lon"), 180, 360))))
     r = r.withColumn("iy", F.explode(F.sequence(cell(F.col("min_lat"), 90, 180), cell(F.col("max_lat"), 90, 180))))
     box = ["area", "min_lat", "max_lat", "min_lon", "max_lon"]
-    todo = r.select(*box, _key(LEVELS[0], F.col("ix"), F.col("iy")).alias("up"), F.lit(False).alias("sure"))
-    done = []
+    hit = r.select(*box, _key(LEVELS[0], F.col("ix"), F.col("iy")).alias("up"), F.lit(False).alias("sure"))
+    # leaves stay in the frame as their own children: one chain of joins, no branches
     for depth in range(len(LEVELS)):
-        k = tree.kids(depth).select("key", "parent", "leaf", "lat0", "lat1", "lon0", "lon1")
-        step = todo.join(k, F.col("up") == F.col("key" if depth == 0 else "parent"))
+        k = tree.kids(depth).select("key", "parent", "lat0", "lat1", "lon0", "lon1")
+        step = hit.join(k, F.col("up") == F.col("key" if depth == 0 else "parent"))
         apart = (F.col("lat1") < F.col("min_lat")) | (F.col("lat0") > F.col("max_lat")) | (F.col("lon1") < F.col("min_lon")) | (F.col("lon0") > F.col("max_lon"))
         inside = (F.col("lat0") >= F.col("min_lat")) & (F.col("lat1") <= F.col("max_lat")) & (F.col("lon0") >= F.col("min_lon")) & (F.col("lon1") <= F.col("max_lon"))
-        step = step.filter(F.col("sure") | ~apart).select(*box, "key", "leaf", (F.col("sure") | inside).alias("sure"))
-        done.append(step.filter("leaf").drop("leaf"))
-        todo = step.filter(~F.col("leaf")).withColumnRenamed("key", "up").drop("leaf")
-    hit = done[0]
-    for d in done[1:]:
-        hit = hit.unionByName(d)
+        hit = step.filter(F.col("sure") | ~apart).select(*box, F.col("key").alias("up"), (F.col("sure") | inside).alias("sure"))
+    hit = hit.withColumnRenamed("up", "key")
     met = tree.points.select("key", "id", "lat", "lon").join(hit, "key")
     met = met.filter(F.col("sure") | (F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))))
     return met.select(F.col("id").alias("left_id"), F.col("area").alias("right_id"))
