@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.operators.flatten import child_table, nested_objects
+from strataform.operators.flatten import ROOT, flat_rows, flat_table, keyed_rows, nested_objects
 from strataform.operators.history import fact_history
 from strataform.operators.spatial import near_and_within
 from strataform.operators.timestamps import normalise
@@ -27,16 +27,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested_objects(b, "id", "raw_json", with_fields=False).select(F.col("id").alias("business_id"), "parent_path", "path")
 
 
-def p4_reviews(spark: SparkSession, d: str) -> DataFrame:
-    """One of the flat tables: reviews with their own key, position and columns."""
-    objects = nested_objects(table(spark, d, "businesses", "id", "raw_json"), "id", "raw_json")
-    return child_table(objects, "user_reviews", "review_id string, Rating long, language string, posted_at_unix_micros long, text_original string")
+def _days(path: str) -> tuple[str, ...]:
+    return tuple(f"{path}.{day}" for day in ("mon", "tue", "wed", "thu", "fri", "sat", "sun"))
 
 
-def p4_images(spark: SparkSession, d: str) -> DataFrame:
-    """Images of reviews; ``parent_key`` is the ``row_key`` of the review."""
-    objects = nested_objects(table(spark, d, "businesses", "id", "raw_json"), "id", "raw_json")
-    return child_table(objects, "user_reviews.images", "url string")
+#: The flat tables of the records, root first; ``p4_rows`` has the rows of these and of any array not named here.
+P4_TABLES = {
+    "p4_root": ROOT, "p4_reviews": "user_reviews", "p4_images": "user_reviews.images", "p4_place_images": "images",
+    **{f"p4_{t.replace('.', '_')}": t for t in (
+        "about", "about.options", "menu.sections", "menu.sections.items", "menu.sections.items.options", *_days("open_hours"), "popular_times", "popular_times.hours", "user_reviews.images.tags",
+        "user_reviews.owner_response.edits", "user_reviews_extended", "user_reviews_extended.images", "user_reviews_extended.images.tags", "user_reviews_extended.owner_response.edits")},
+}
+
+
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all flat tables in one, their columns as JSON."""
+    return keyed_rows(flat_rows(table(spark, d, "businesses", "id", "raw_json"), "id", "raw_json"))
+
+
+def _p4_table(name: str, path: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return flat_table(table(spark, d, "businesses", "id", "raw_json"), "id", "raw_json", path)
+
+    run.__name__, run.__doc__ = name, f"The flat table of {path or 'the records themselves'}; ``parent_key`` is the ``row_key`` of the row around it."
+    return run
+
+
+_P4 = {name: _p4_table(name, path) for name, path in P4_TABLES.items()}
+p4_reviews, p4_images = _P4["p4_reviews"], _P4["p4_images"]
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +68,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("table_name", "row_key", "instant_us").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_reviews": p4_reviews, "p4_images": p4_images, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_rows": p4_rows, **_P4, "p7_found": p7_found}
 
 _OK = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
 SQL = {

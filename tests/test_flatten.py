@@ -1,7 +1,8 @@
 import json
+from collections import Counter
 
-from strataform.operators.flatten import array_paths, child_table, nested_objects
-from strataform.plans.problems import p4_found, p4_images, p4_reviews
+from strataform.operators.flatten import KEYS, array_paths, child_table, flat_table, nested_objects
+from strataform.plans.problems import P4_TABLES, QUERIES, p4_found, p4_images, p4_reviews
 
 
 def walk(v, gen, path, near, arrays, out):
@@ -86,3 +87,58 @@ def test_children_find_their_parents(spark, data):
     r, i = p4_reviews(spark, data), p4_images(spark, data)
     assert r.count() == r.select("row_key").distinct().count() > 0
     assert i.count() > 0 and i.join(r, i["parent_key"] == r["row_key"], "left_anti").count() == 0
+
+
+def leaves(v, at=()):
+    """Every scalar of a record that is not null, with its path; JSON text read."""
+    if isinstance(v, str) and v.lstrip()[:1] in ("[", "{"):
+        try:
+            v = json.loads(v)
+        except ValueError:
+            pass
+    if isinstance(v, dict):
+        for k, x in v.items():
+            yield from leaves(x, (*at, k))
+    elif isinstance(v, list):
+        for x in v:
+            yield from leaves(x, at)
+    elif v is not None:
+        yield ".".join(at), str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+
+def test_no_scalar_is_lost(spark, data):
+    """Each scalar of each record is in a registered table, once."""
+    want, got = Counter(), Counter()
+    for r in spark.read.parquet(f"{data}/businesses.parquet").select("id", "raw_json").collect():
+        try:
+            want.update((r.id, *x) for x in leaves(json.loads(r.raw_json)))
+        except ValueError:
+            continue
+    tables = {name: QUERIES[name](spark, data) for name in P4_TABLES}
+    for name, t in tables.items():
+        for r in t.collect():
+            for c, v in list(zip(t.columns, r))[len(KEYS) :]:
+                path = ".".join(x for x in (P4_TABLES[name], "" if c == "value" else c.removesuffix("_")) if x)
+                got.update((r.id, *x) for x in leaves(v, (path,)))
+    assert got == want
+    assert {"owner_response.text", "Name", "When"} <= set(tables["p4_reviews"].columns)
+    rows = QUERIES["p4_rows"](spark, data)
+    assert {r[0] for r in rows.select("table").distinct().collect()} <= set(P4_TABLES.values())
+    assert rows.count() == sum(t.count() for t in tables.values())
+    assert rows.filter("table != ''").join(rows.select(rows["row_key"].alias("parent_key")).distinct(), "parent_key", "left_anti").count() == 0
+
+
+def test_flat_shapes(spark):
+    rows = [
+        (1, '{"id":7,"o":{"p":{"q":true}},"s":["x",null,"y"],"n":[[1,2],[3]],"a":[{"b":1,"B":"z"},5],"w":1}'),
+        (2, '{"s":"lone","a":{"b":2.5},"w":"t","o":"flat"}'),
+        (3, '[{"id":8},{"id":9}]'),
+        (4, "[1"),
+        (5, "null"),
+    ]
+    df = spark.createDataFrame(rows, "id long, raw string")
+    held = lambda t, *c: sorted((tuple(r[k] for k in ("id", "path", *c)) for r in flat_table(df, "id", "raw", t).collect()), key=str)
+    assert held("", "id_", "o.p.q", "o", "w") == [(1, "", 7, True, None, "1"), (2, "", None, None, "flat", "t"), (3, "[0]", 8, None, None, None), (3, "[1]", 9, None, None, None)]
+    assert held("s", "ordinal", "value") == [(1, "s[0]", 0, "x"), (1, "s[2]", 2, "y"), (2, "s[0]", 0, "lone")]
+    assert held("n.[]", "value") == [(1, "n[0][0]", 1), (1, "n[0][1]", 2), (1, "n[1][0]", 3)]
+    assert held("a", "B", "b_", "value") == [(1, "a[0]", "z", 1.0, None), (1, "a[1]", None, None, 5), (2, "a[0]", None, 2.5, None)]
