@@ -11,6 +11,7 @@ from strataform.functions import identity, urls
 from strataform.functions.jsons import instant_us
 from strataform.functions.text import clean_text, no_placeholder, strong_id
 from strataform.operators import canonical, facts, graph, grid, quality, reviews, sessions
+from strataform.operators.components import components, links_by_shared_key
 from strataform.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,12 +323,14 @@ _WALK = f"{_EDGES}, wk as (select id, id pos, 0 steps from ed union all select w
 
 
 def _redirects(spark: SparkSession, d: str) -> DataFrame:
-    """Each listing redirects to the smallest id it shares a strong id with."""
+    """Each listing redirects to the smallest id it shares a strong id with; where that has none smaller but is linked to one through others, on to the smallest."""
     b = table(spark, d, "businesses", "id", "place_id", "cid", "data_id")
     keys = F.array_compact(F.array(*[F.concat(F.lit(f"{c}:"), strong_id(F.col(c))) for c in ("place_id", "cid", "data_id")]))
     k = b.select("id", F.explode(keys).alias("k"))
     low = k.join(k.groupBy("k").agg(F.min("id").alias("low")), "k").groupBy("id").agg(F.min("low").alias("low"))
-    return b.select("id").join(low, "id", "left").select("id", F.when(F.col("low") < F.col("id"), F.col("low")).alias("target"))
+    group = components(links_by_shared_key(k, "id", "k"))
+    target = F.when(F.col("low") < F.col("id"), F.col("low")).when(F.col("group_id") < F.col("id"), F.col("group_id"))
+    return b.select("id").join(low, "id", "left").join(group, "id", "left").select("id", target.alias("target"))
 
 
 @query(f"with recursive {_WALK} select id, root, steps::bigint steps, 'resolved' state from rs")
