@@ -575,4 +575,4 @@ def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with recursive {_WALK}, g as (select root, count(distinct k) n, 'place_id' as field from rs join (select id, nullif(trim(place_id), '') k from businesses) b on b.id = rs.id group by 1 having count(distinct k) > 1) select root group_id, field, n from g")
 def identity_conflicts(spark: SparkSession, d: str) -> DataFrame:
     g = graph.resolve(_redirects(spark, d)).filter("state = 'resolved'").select("id", F.col("root").alias("group_id"))
-    return canonical.identity_conflicts(table(spark, d, "businesses", "id", "place_id", "cid", "data_id"), g).filter("field = 'place_id'")
+    return canonical.identity_conflicts(table(spark, d, "businesses", "id", "place_id", "cid", "data_id"), g)

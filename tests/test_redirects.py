@@ -57,3 +57,15 @@ def test_whole_groups(spark, linked):
     assert {r.root: r.locations for r in q["duplicate_locations"](spark, d).collect()}[a] == 3
     outcomes = {r.root: r.outcome for r in q["reconcile_groups"](spark, d).collect()}
     assert outcomes[a] == "mixed" and a + 1 not in outcomes
+
+
+def test_conflicts_of_every_id(spark, linked):
+    d, rows, root, a = linked
+    values: dict = {}
+    for r in rows:
+        for c in IDS:
+            if r[c] and r[c].strip():
+                values.setdefault((root[r["id"]], c), set()).add(r[c].strip())
+    got = {(r.group_id, r.field): r.n for r in queries()["identity_conflicts"](spark, d).collect()}
+    assert got[a, "data_id"] == 2
+    assert got == {k: len(v) for k, v in values.items() if len(v) > 1}
