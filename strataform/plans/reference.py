@@ -176,10 +176,20 @@ _FIELDS = {"title": ("be", "business.name.trading", 1), "category": ("be", "busi
 @query(" union all ".join(f"select id business_id, '{k}_' || substr(sha256(id::varchar), 1, 32) subject_id, '{p}' predicate, {"'__single__'" if one else f"sha256({c}::varchar)"} fact_slot, {c}::varchar as value, sha256({c}::varchar) value_hash from businesses where {c} is not null" for c, (k, p, one) in _FIELDS.items()))
 def facts_unpivot(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "businesses", "id", "title", "category", "website", "address", "latitude", "longitude", "phone", "review_rating", "review_count", "status")
-    # coordinates print differently in SQL engines; all else is compared
+    # coordinates print differently in SQL engines; all else is compared; with them: facts_unpivot_all
     return facts.unpivot_fields(b).filter(~F.col("predicate").isin("location.latitude", "location.longitude"))
 
 
+_ALL_FIELDS = _FIELDS | {"latitude": ("loc", "location.latitude", 1), "longitude": ("loc", "location.longitude", 1)}
+
+
+# below 0.001 and above 10 000 000 the two engines write a double differently; the operator's text is Spark's
+@query(" union all ".join(f"select id business_id, '{k}_' || substr(sha256(id::varchar), 1, 32) subject_id, '{p}' predicate, {"'__single__'" if one else f"sha256({c}::varchar)"} fact_slot, {c}::varchar as value, sha256({c}::varchar) value_hash from businesses where {c} is not null" for c, (k, p, one) in _ALL_FIELDS.items()))
+def facts_unpivot_all(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of all ten fields, coordinates included."""
+    return facts.unpivot_fields(table(spark, d, "businesses", "id", *_ALL_FIELDS))
+
+
 _F = ("id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from", "last_verified_at", "reconciled_at")
 
 

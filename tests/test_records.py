@@ -128,3 +128,15 @@ def test_status_moves_with_hot_keys(spark, data):
     e = spark.read.parquet(f"{data}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
     rows = lambda d: {tuple(r) for r in d.collect()}
     assert rows(sessions.status_moves(e, "user_id", "at", "event_id", "event_type")) == rows(sessions.status_moves(e, "user_id", "at", "event_id", "event_type", hot_rows=3, chunk_rows=2))
+
+
+def test_all_ten_fields_become_facts(spark, data):
+    from strataform.plans.reference import QUERIES
+
+    b = spark.read.parquet(f"{data}/businesses.parquet")
+    got = QUERIES["facts_unpivot_all"](spark, data)
+    assert got.select("predicate").distinct().count() == 10
+    for c in ("latitude", "longitude"):
+        facts = got.filter(f"predicate = 'location.{c}'").collect()
+        held = sorted((r.id, r[c]) for r in b.filter(f"{c} is not null").collect())
+        assert sorted((r.business_id, float(r.value)) for r in facts) == held
