@@ -67,6 +67,15 @@ def canonical_survivorship(spark: SparkSession, d: str) -> DataFrame:
     return canonical.survivorship(b, "identity", F.col("last_seen_at"), mutable=("title", "category", "address", "phone", "website", "status"))
 
 
+@query(f"""
+select {_KEY_SQL} as identity, min(id) primary_id, count(*) members, min(first_seen_at) first_seen_at, max(last_seen_at) last_seen_at, arg_max(last_run_id, {_ORDER}) last_run_id,
+{", ".join(f"arg_max({c}, {_ORDER}) filter ({c} is not null) {c}" for c in canonical.MUTABLE)} from businesses group by 1""")
+def canonical_survivorship_all(spark: SparkSession, d: str) -> DataFrame:
+    """``canonical_survivorship`` with every mutable field, coordinates and review figures included."""
+    b = canonical.with_identity(table(spark, d, "businesses", *_BIZ, "review_rating", "review_count"))
+    return canonical.survivorship(b, "identity", F.col("last_seen_at"))
+
+
 @query("""
 select r.id run_id, (select count(distinct b.id) from businesses b where b.last_run_id = r.id) unique_seen, (select count(distinct b.id) from businesses b where b.first_run_id = r.id) new_businesses from runs r""")
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:

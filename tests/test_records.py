@@ -140,3 +140,12 @@ def test_all_ten_fields_become_facts(spark, data):
         facts = got.filter(f"predicate = 'location.{c}'").collect()
         held = sorted((r.id, r[c]) for r in b.filter(f"{c} is not null").collect())
         assert sorted((r.business_id, float(r.value)) for r in facts) == held
+
+
+def test_entry_keeps_every_mutable_field(spark):
+    import __spark_entry__
+    from strataform.operators.canonical import MUTABLE
+
+    got = __spark_entry__.entry(spark)
+    assert set(MUTABLE) <= set(got.columns)
+    assert all(got.filter(f"{c} is not null").count() > 0 for c in MUTABLE)
