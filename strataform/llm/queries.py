@@ -11,10 +11,14 @@ from strataform.llm.contamination import leaked
 from strataform.llm.encoding_repair import repaired
 from strataform.llm.languages import fit_on, label_code, labelled
 from strataform.llm.packing import TOKENIZER, packed, token_counts
-from strataform.llm.survivors import FIELDS, duplicate_groups, surviving_records, votes, winners
+from strataform.llm.survivors import FIELDS, decayed_votes, duplicate_groups, strict_votes, surviving_records, votes, winners
 from strataform.sources.tables import table
 
 
+#: Trust in rows of runs that are not complete, against 1.
+UNFINISHED_TRUST = 0.25
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     """Distinct reviews: raw_sha256, identity_key, language, text (the original text)."""
     r = table(spark, d, "parsed_reviews", "raw_sha256", "identity_key", "language", "raw_json")
@@ -52,16 +56,16 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "businesses", "id", "place_id", "cid", "data_id")
     done = table(spark, d, "runs", "id", "status").filter("status = 'complete'").select(F.col("id").alias("last_run_id"), F.lit(1.0).alias("done"))
     b = table(spark, d, "businesses", "id", "last_seen_at", "last_run_id", "raw_json").join(done, "last_run_id", "left")
-    return votes(b, duplicate_groups(ids), F.coalesce("done", F.lit(0.0)), instant_us(F.col("last_seen_at")))
+    return votes(b, duplicate_groups(ids), F.coalesce("done", F.lit(UNFINISHED_TRUST)), instant_us(F.col("last_seen_at")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return winners(_votes(spark, d), half_life_days=None).select("group_id", "field_name", F.col("id").alias("business_id"))
+    return winners(strict_votes(_votes(spark, d))).select("group_id", "field_name", F.col("id").alias("business_id"))
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving records themselves, votes decaying by half in 180 days."""
-    return surviving_records(winners(_votes(spark, d), half_life_days=180.0))
+    """The surviving records themselves, votes decaying by half in 180 days; rows of unfinished runs have a quarter of a vote."""
+    return surviving_records(winners(decayed_votes(_votes(spark, d), 180.0)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

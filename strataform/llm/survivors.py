@@ -3,8 +3,10 @@
 Method. Rows that share a strong id, directly or through others, form a group. Their fields are unpivoted to long rows,
 each with a vote: the trust in its source times a decay by age. Votes are summed per normalised value, the value with
 the largest sum wins by ``max_by``, the best row that holds it supplies it, and the winners are pivoted back to one
-record. With ``half_life_days=None`` the decay takes its limit: the newest row of the most trusted sources outweighs
-any sum of others, so votes are compared as (trust, instant, smallest id) and not added.
+record. A half-life of days (``decayed_votes``) lets older rows outvote a newer one. In the strict order (``strict_votes``)
+trust counts more than any age, a microsecond of age more than any number of rows, and of rows of one instant each later
+id a quarter of the id before. Such votes span more powers of two than a double has, so they are summed as numbers of
+base 2^32: per value and leading digit first, then the highest digit per value.
 
 Skew. Groups come from star links (see ``components``), votes are added in two partial aggregations; neither holds a
 group in one task. Raw records are read only for rows that belong to a group.
@@ -44,7 +46,7 @@ def field_values(df: DataFrame, raw: str = "raw_json", fields: tuple[str, ...] =
 
 
 def votes(df: DataFrame, groups: DataFrame, trust: Column, at: Column, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Long rows (group_id, field_name, value, norm, id, trust, at)."""
+    """Long rows (group_id, field_name, value, norm, id, trust, at); trust is 1 for the most trusted source, never 0."""
     d = df.select("id", trust.cast("double").alias("trust"), at.alias("at"), "raw_json").join(groups, "id")
     d = d.withColumn("_v", F.try_parse_json("raw_json")).drop("raw_json")
     d = d.select("group_id", "id", "trust", "at", F.explode(field_values(d, fields=fields)).alias("f"))
@@ -52,16 +54,38 @@ def votes(df: DataFrame, groups: DataFrame, trust: Column, at: Column, fields: t
     return d.select("group_id", "f.field_name", "f.value", norm.alias("norm"), "id", "trust", "at").dropDuplicates(["group_id", "field_name", "id"])
 
 
-def winners(voted: DataFrame, half_life_days: float | None) -> DataFrame:
-    """(group_id, field_name, value, id, score) of the winning value of each field."""
-    rank = F.struct("trust", F.coalesce("at", F.lit(-(1 << 62))).alias("at"), (-F.col("id")).alias("least"))
-    if half_life_days is None:
-        score = F.max(rank)
-    else:
-        # decay from a fixed instant: a group's votes keep their proportions whatever the instant
-        age = (F.lit(1_900_000_000_000_000) - F.coalesce("at", F.lit(0))) / (86_400_000_000.0 * half_life_days)
-        score = F.sum(F.col("trust") * F.pow(F.lit(2.0), -age))
-    by_value = voted.groupBy("group_id", "field_name", "norm").agg(score.alias("score"), F.max(rank).alias("rank"), F.max_by(F.struct("id", "value"), rank).alias("best"))
+def _rank() -> Column:
+    return F.struct("trust", F.coalesce("at", F.lit(-(1 << 62))).alias("at"), (-F.col("id")).alias("least"))
+
+
+def decayed_votes(voted: DataFrame, half_life_days: float) -> DataFrame:
+    """(group_id, field_name, norm, score, rank, best): the votes of each value, decaying by half in so many days."""
+    # decay from a fixed instant: a group's votes keep their proportions whatever the instant
+    age = (F.lit(1_900_000_000_000_000) - F.coalesce("at", F.lit(0))) / (86_400_000_000.0 * half_life_days)
+    score = F.sum(F.col("trust") * F.pow(F.lit(2.0), -age))
+    return voted.groupBy("group_id", "field_name", "norm").agg(score.alias("score"), F.max(_rank()).alias("rank"), F.max_by(F.struct("id", "value"), _rank()).alias("best"))
+
+
+def strict_votes(voted: DataFrame) -> DataFrame:
+    """As ``decayed_votes``, with score = (digit, sum): the votes of a value in the strict order.
+
+    A vote is 2 to the power of 2^66 bits per microsecond less two per id, and 2^122 more for the trusted (trust 1). All
+    other votes of a value together stay below a half of its best one, so no carry from a lower digit decides anything.
+    """
+    big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    part = lambda c, n: (c.cast("decimal(17,0)") * F.lit(str(n)).cast("decimal(20,0)")).cast("decimal(38,0)")
+    at = F.greatest(F.coalesce("at", F.lit(-(1 << 53))), F.lit(-(1 << 53)))
+    bits = part(at, 1 << 66) - (F.col("id").cast("decimal(19,0)") * big(2)).cast("decimal(38,0)") + F.when(F.col("trust") >= 1, big(1 << 122)).otherwise(big(0))
+    low = F.pmod(bits, big(32)).cast("int")
+    digit = (bits - F.pmod(bits, big(32))).cast("decimal(38,0)")
+    keys = ["group_id", "field_name", "norm"]
+    d = voted.select(*keys, "id", "value", _rank().alias("rank"), digit.alias("digit"), F.pow(F.lit(2.0), low).alias("vote"))
+    d = d.groupBy(*keys, "digit").agg(F.sum("vote").alias("sum"), F.max("rank").alias("rank"), F.max_by(F.struct("id", "value"), F.col("rank")).alias("best"))
+    return d.groupBy(*keys).agg(F.max(F.struct("digit", "sum")).alias("score"), F.max("rank").alias("rank"), F.max_by("best", F.col("rank")).alias("best"))
+
+
+def winners(by_value: DataFrame) -> DataFrame:
+    """(group_id, field_name, value, id, score): the value with the largest sum of votes and the best row that holds it."""
     won = by_value.groupBy("group_id", "field_name").agg(F.max_by(F.struct("best", "score"), F.struct("score", "rank")).alias("w"))
     return won.select("group_id", "field_name", F.col("w.best.value").alias("value"), F.col("w.best.id").alias("id"), F.col("w.score").alias("score"))
 

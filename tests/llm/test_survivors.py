@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataform.functions.text import ID_PLACEHOLDERS, PLACEHOLDERS
 from strataform.llm.queries import p5_found, p5_records
-from strataform.llm.survivors import FIELDS, duplicate_groups, votes, winners
+from strataform.llm.survivors import FIELDS, decayed_votes, duplicate_groups, strict_votes, votes, winners
 
 
 def brute(rows, complete):
@@ -68,6 +68,24 @@ def test_votes_add_up_and_edges(spark):
     g = duplicate_groups(df)
     assert {tuple(r) for r in g.collect()} == {(k, 1) for k in (1, 2, 3, 4)}
     v = votes(df, g, F.lit(1.0), F.col("at"))
-    assert [(r.group_id, r.value, r.id) for r in winners(v, 365.0).collect()] == [(1, "new  name", 2)]
-    assert [r.id for r in winners(v, None).collect()] == [2]
+    assert [(r.group_id, r.value, r.id) for r in winners(decayed_votes(v, 365.0)).collect()] == [(1, "new  name", 2)]
+    assert [r.id for r in winners(strict_votes(v)).collect()] == [2]
     assert duplicate_groups(df.limit(0)).count() == 0
+
+
+def test_strict_order_is_a_sum_of_votes(spark):
+    """Untrusted crowds, older crowds and later ids lose; the scores are sums over rows of a value."""
+    v = "group_id long, field_name string, value string, norm string, id long, trust double, at long"
+    rows = [(1, "f", "crowd", "crowd", k, 0.25, 100) for k in range(1, 400)] + [(1, "f", "one", "one", 900, 1.0, 5)]
+    rows += [(2, "f", "old", "old", k, 1.0, 10) for k in range(1, 400)] + [(2, "f", "new", "new", 900, 1.0, 11)]
+    rows += [(3, "f", "late", "late", k, 1.0, 10) for k in range(8, 400)] + [(3, "f", "first", "first", 7, 1.0, 10)]
+    rows += [(4, "f", "a", "a", 5, 0.25, None), (4, "f", "b", "b", 6, 0.25, None)]
+    rows += [(5, "f", "a", "a", 3, 1.0, 7), (5, "f", "A", "a", 2, 1.0, 7)]
+    df = spark.createDataFrame(rows, v)
+    got = {r.group_id: (r.value, r.id) for r in winners(strict_votes(df)).collect()}
+    assert got == {1: ("one", 900), 2: ("new", 900), 3: ("first", 7), 4: ("a", 5), 5: ("A", 2)}
+    scores = {(r.group_id, r.norm): r.score for r in strict_votes(df).collect()}
+    single = {(r.group_id, r.norm): r.score for r in strict_votes(df.filter("id <> 3 or group_id <> 5")).collect()}
+    assert scores[5, "a"]["sum"] > single[5, "a"]["sum"]
+    decayed = {r.group_id: r.value for r in winners(decayed_votes(df, 180.0)).collect()}
+    assert decayed[1] == "crowd" and decayed[2] == "old" and decayed[3] == "late"
