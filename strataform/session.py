@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +73,44 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+_models: dict[str, Any] = {}
+
+
+def _input_mark(df: DataFrame, dated: int = 1000) -> str:
+    """A digest of the files a frame reads; of up to ``dated`` files the time of change counts too."""
+    spark, files = df.sparkSession, sorted(df.inputFiles())
+    marks = files
+    if len(files) <= dated:
+        conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        marks = [f"{f} {path(f).getFileSystem(conf).getFileStatus(path(f)).getModificationTime()}" for f in files]
+    return hashlib.sha256("\n".join(marks).encode()).hexdigest()
+
+
+def fitted(df: DataFrame, name: str, make: Callable[[], Any], *params) -> Any:
+    """What ``make`` fits on ``df``: made once per application, input files and parameters, then read from the shared folder.
+
+    A frame that reads no files is fitted anew each time.
+    """
+    spark = df.sparkSession
+    if not df.inputFiles():
+        return make()
+    key = hashlib.sha256(repr((name, params, _input_mark(df), df.schema.simpleString())).encode()).hexdigest()[:32]
+    where = f"{_own_dir(spark)}/models/{name}-{key}"
+    if where in _models:
+        return _models[where]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        model = pickle.loads(bytes(spark.read.format("binaryFile").load(where).first()["content"]))
+    else:
+        model = make()
+        out = fs.create(path, True)
+        out.write(bytearray(pickle.dumps(model)))
+        out.close()
+    _models[where] = model
+    return model
+
+
 _shipped: set[str] = set()
 
 
