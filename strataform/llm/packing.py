@@ -5,9 +5,10 @@ carry a bitmap of their sources and one of their duplicate clusters. The success
 that is large enough and goes on until one is compatible: no other member of the item's cluster, no source in conflict
 with the item's. Items longer than the capacity are cut into full pieces and a rest.
 
-Scale. Items are spread by hash over shards of about ``shard_tokens`` tokens, each packed in one task; copies of one
-text spread alike. The bins left less than ``full`` full are then taken apart and packed again in as few shards as their
-tokens need, so that no shard leaves its own open bins behind. The number of shards follows the total of tokens.
+Scale. Items are written once with their sizes, however many capacities there are. They are spread by hash over shards of
+about ``shard_tokens`` tokens and at most about ``shard_items`` items, each packed in one task; copies of one text spread
+alike. The bins left less than ``full`` full are then taken apart and packed again in as few shards as their
+tokens need, so that no shard leaves its own open bins behind. The number of shards follows the totals.
 
 Defined results: null and empty texts have no tokens and are in no container, nor are rows without an id; a row without
 a cluster is its own; a null source conflicts with none; a repeated id counts once;
@@ -20,7 +21,7 @@ import base64
 import bisect
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from pathlib import Path
 
 import pandas as pd
@@ -67,7 +68,8 @@ def pack(sizes: list[int], clusters: list, sources: list, capacity: int, conflic
     conflicts = conflicts or {}
     repeated = {c: 1 << k for k, c in enumerate(sorted(c for c, n in Counter(clusters).items() if n > 1))}
     bit = {s: 1 << k for k, s in enumerate(sorted({s for s in sources if s is not None}))}
-    against = {s: sum(bit.get(o, 0) for o in conflicts.get(s, ())) for s in bit}
+    pairs = {(s, o) for s, others in conflicts.items() for o in others}
+    against = {s: sum(b for o, b in bit.items() if (s, o) in pairs or (o, s) in pairs) for s in bit}
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], str(clusters[i]), str(sources[i]), i))
     out = [-1] * len(sizes)
     ordered: list[tuple[int, int]] = []  # (left, bin)
@@ -124,29 +126,39 @@ def _packer(conflicts: dict | None, round_no: int):
 PACKED = "target_id long, capacity long, container string, doc_id long, piece long, start_token long, tokens long, source string, cluster long"
 
 
-def _round(items: DataFrame, shard_tokens: int, round_no: int, conflicts: dict | None) -> DataFrame:
-    need = items.groupBy("target_id").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / shard_tokens)).alias("shards"))
+def _round(items: DataFrame, shard_tokens: int, shard_items: int, round_no: int, conflicts: dict | None) -> DataFrame:
+    shards = F.greatest(F.lit(1), F.ceil(F.sum("tokens") / shard_tokens), F.ceil(F.count("*") / shard_items))
+    need = items.groupBy("target_id").agg(shards.alias("shards"))
     spread = items.join(need, "target_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.col("shards")).cast("long")).drop("shards")
     return spread.groupBy("target_id", "shard").applyInPandas(_packer(conflicts, round_no), PACKED)
 
 
-def packed(items: DataFrame, targets: DataFrame, shard_tokens: int = 4_000_000, full: float = 0.98, max_targets: int = 100, conflicts: dict | None = None) -> DataFrame:
-    """(target_id, capacity, container, doc_id, piece, start_token, tokens) for items (doc_id, source, cluster, tokens)."""
-    t = targets.select("target_id", F.col("capacity_tokens").alias("capacity")).filter("capacity > 0").distinct().limit(max_targets + 1).collect()
-    if len(t) > max_targets:
-        raise ValueError(f"more than {max_targets} capacities")
-    each = F.array(*[F.struct(F.lit(r.target_id).cast("long").alias("target_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in t])
-    each = each if t else F.expr("cast(array() as array<struct<target_id:bigint,capacity:bigint>>)")
+def packed(items: DataFrame, targets: DataFrame, shard_tokens: int = 4_000_000, full: float = 0.98, conflicts: dict | None = None, shard_items: int = 100_000, targets_at_once: int = 100) -> DataFrame:
+    """(target_id, capacity, container, doc_id, piece, start_token, tokens) for items (doc_id, source, cluster, tokens).
+
+    ``conflicts`` names for each source those it must not share a container with, both ways round. Capacities, which are
+    stated and few, are taken in turns of ``targets_at_once``.
+    """
+    each = targets.select("target_id", F.col("capacity_tokens").alias("capacity")).filter("capacity > 0 and target_id is not null").distinct().orderBy("target_id", "capacity").collect()
     own = F.coalesce("cluster", F.xxhash64("doc_id", F.lit("alone"))).alias("cluster")
-    pieces = items.filter("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "source", own, "tokens", F.explode(each).alias("t")).select("doc_id", "source", "cluster", "tokens", "t.target_id", "t.capacity")
+    sized = items.filter("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own, F.col("tokens").cast("long").alias("tokens"))
+    sized = materialize(sized, "sized")
+    turns = [each[k : k + targets_at_once] for k in range(0, len(each), targets_at_once)] or [[]]
+    return reduce(DataFrame.unionByName, [_packed(sized, turn, shard_tokens, shard_items, full, conflicts) for turn in turns])
+
+
+def _packed(sized: DataFrame, turn: list, shard_tokens: int, shard_items: int, full: float, conflicts: dict | None) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(r.target_id).cast("long").alias("target_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in turn])
+    each = each if turn else F.expr("cast(array() as array<struct<target_id:bigint,capacity:bigint>>)")
+    pieces = sized.select("doc_id", "source", "cluster", "tokens", F.explode(each).alias("t")).select("doc_id", "source", "cluster", "tokens", "t.target_id", "t.capacity")
     pieces = pieces.withColumn("piece", F.explode(F.expr("sequence(0L, (tokens - 1) div capacity)")))
     pieces = pieces.withColumn("start_token", F.col("piece") * F.col("capacity")).withColumn("tokens", F.least("capacity", F.col("tokens") - F.col("start_token")))
     pieces = pieces.select("target_id", "capacity", "doc_id", "piece", "start_token", "tokens", "source", "cluster")
     # a full piece is a container of its own
     whole = pieces.filter("tokens = capacity").withColumn("container", F.concat_ws("-", F.lit("whole"), "doc_id", "piece"))
-    first = materialize(_round(pieces.filter("tokens < capacity"), shard_tokens, 0, conflicts), "packed")
+    first = materialize(_round(pieces.filter("tokens < capacity"), shard_tokens, shard_items, 0, conflicts), "packed")
     filled = first.groupBy("target_id", "container").agg(F.sum("tokens").alias("filled"))
     state = first.join(filled, ["target_id", "container"]).withColumn("open", F.col("filled") < F.col("capacity") * full)
-    again = _round(state.filter("open").select(*pieces.columns), shard_tokens, 1, conflicts)
+    again = _round(state.filter("open").select(*pieces.columns), shard_tokens, shard_items, 1, conflicts)
     out = state.filter("not open").select(*first.columns).unionByName(again).unionByName(whole.select(*first.columns))
     return out.select("target_id", "capacity", "container", "doc_id", "piece", "start_token", "tokens")

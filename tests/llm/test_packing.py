@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strataform.llm.packing import pack, packed, token_counts
-from strataform.llm.queries import p8_packed
+from strataform.llm.queries import APART, p8_packed, p8_separated
 
 
 def test_best_fit_one_by_one():
@@ -68,3 +68,29 @@ def test_edges(spark):
     assert len(hot) == len(set(hot)) == 200  # copies never share a container
     assert packed(items.limit(0), targets).count() == 0 and packed(items, targets.limit(0)).count() == 0
     assert token_counts(spark.createDataFrame([(1, None), (2, "")], "a long, text string"), "text").agg(F.sum("tokens")).first()[0] == 0
+
+
+def test_sources_apart(spark, data):
+    """No container holds two sources in conflict, and the conflicts cost little room."""
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source").collect()}
+    free, apart = p8_packed(spark, data).collect(), p8_separated(spark, data).collect()
+    assert sorted((r.target_id, r.doc_id, r.piece) for r in free) == sorted((r.target_id, r.doc_id, r.piece) for r in apart)
+
+    def mixed(rows):
+        held = {}
+        for r in rows:
+            held.setdefault((r.target_id, r.container), set()).add(source[r.doc_id])
+        return sum(any(a in h and set(bs) & h for a, bs in APART.items()) for h in held.values()), len(held)
+
+    assert mixed(free)[0] > 0 and mixed(apart)[0] == 0
+    assert mixed(apart)[1] <= mixed(free)[1] * 1.1 + 6
+
+
+def test_shards_are_bounded_by_items_and_capacities_go_in_turns(spark):
+    items = spark.range(1, 3001).selectExpr("id as doc_id", "'s' as source", "id as cluster", "1L as tokens")
+    targets = spark.createDataFrame([(k, 50 + k) for k in range(1, 8)], "target_id long, capacity_tokens long")
+    got = packed(items, targets, shard_items=400, targets_at_once=3)
+    fill = got.groupBy("target_id", "capacity", "container").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
+    assert fill.filter("n > capacity").count() == 0 and got.count() == 7 * 3000
+    tasks = got.filter("container like '0-%'").select("target_id", F.split("container", "-")[1].alias("shard")).distinct().groupBy("target_id").count()
+    assert tasks.agg(F.min("count")).first()[0] >= 2
