@@ -3,10 +3,12 @@
 Method. A multinomial classifier over byte bigrams (the 65 536 pairs of UTF-8 bytes are their own hash) tells, for each
 sentence with non-ASCII characters, which chain of encodings garbled it, or that it is clean. It is fitted on clean
 sentences of a bounded sample of documents (``fit_docs``, by hash of the id) that are garbled synthetically with every
-chain; a second round drops the sample's own garbled sentences. The likeliest chain is inverted; the result counts only
-if every byte decodes strictly, garbling it again gives the text as found, and the classifier takes it for clean.
-Sentences are cut at ASCII marks, which every chain leaves alone. One chain tends to rule a document, so the chains of
-a document's clear sentences weigh on its unclear ones.
+chain; a second round drops the sample's own garbled sentences. The ``tries`` likeliest chains are inverted, in the
+classifier's order; a result counts only if every byte decodes strictly, garbling it again gives the text as found, and
+the classifier takes it for clean (no chain leads by more than ``slack``). A chain the classifier ranks lower is not tried. Sentences are cut at ASCII marks,
+which every chain leaves alone. One chain tends to rule a document, so the chains of a document's clear sentences weigh
+on its unclear ones. Chains between one-byte encodings decode anything, so there the restored words must also be the more
+frequent ones, as counted over all documents.
 
 Defined results: null, empty and pure ASCII texts are clean; a text with U+FFFD, or one whose garbling can't be
 inverted, is damaged for good (restored text null); copies of a text get equal results; texts of any length are read
@@ -26,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.session import fitted, materialize
+
 #: Chains as (written in, read as); read from left to right they garble a text.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "utf8_as_cp1252": (("utf-8", "cp1252"),),
     "utf8_as_cp1252_twice": (("utf-8", "cp1252"), ("utf-8", "cp1252")),
     "utf8_as_cp1252_thrice": (("utf-8", "cp1252"), ("utf-8", "cp1252"), ("utf-8", "cp1252")),
+    "utf8_as_latin1": (("utf-8", "latin-1"),),
+    "utf8_as_latin1_twice": (("utf-8", "latin-1"), ("utf-8", "latin-1")),
     "utf8_as_macroman": (("utf-8", "mac_roman"),),
     "utf8_as_cp437": (("utf-8", "cp437"),),
     "utf8_as_cp850": (("utf-8", "cp850"),),
@@ -147,7 +153,7 @@ def _tokens(text: str) -> list[str]:
 
 
 class Model:
-    """Log likelihood of byte pairs per chain, and how often words with non-ASCII characters occur in clean text."""
+    """Log likelihood of byte pairs per chain, and how often words with non-ASCII characters occur in all texts."""
 
     def __init__(self, log_p: np.ndarray, log_prior: np.ndarray, seen: dict[str, int]):
         self.log_p, self.log_prior, self.seen = log_p, log_prior, seen
@@ -183,8 +189,8 @@ class Model:
         return sum(math.log(self.seen.get(t, 0) + 0.05) for t in _tokens(text))
 
 
-def fit(clean: list[str], garbled: int = 6000, smoothing: float = 0.02, prior_clean: float = 0.97) -> Model:
-    """Counts byte pairs of clean sentences and of up to ``garbled`` of them under every chain; words come from all."""
+def fit(clean: list[str], garbled: int = 6000, smoothing: float = 0.02, prior_clean: float = 0.97, seen: dict[str, int] | None = None) -> Model:
+    """Counts byte pairs of clean sentences and of up to ``garbled`` of them under every chain; ``seen`` counts words, by default those of the sentences."""
     counts = np.full((len(LABELS), 65_536), smoothing)
     for k, chain in enumerate(LABELS):
         parts = []
@@ -197,24 +203,46 @@ def fit(clean: list[str], garbled: int = 6000, smoothing: float = 0.02, prior_cl
     log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
     prior = np.full(len(LABELS), (1 - prior_clean) / (len(LABELS) - 1))
     prior[0] = prior_clean
-    return Model(np.ascontiguousarray(log_p), np.log(prior), dict(Counter(t for text in clean for t in _tokens(text))))
+    return Model(np.ascontiguousarray(log_p), np.log(prior), dict(Counter(t for text in clean for t in _tokens(text))) if seen is None else seen)
+
+
+_UTF8 = tuple(c for c in CHAINS if CHAINS[c][0][0] == "utf-8")
 
 
 def _looks_clean(text: str) -> bool:
     """No trace of a lost or control character, and no reading as misread UTF-8."""
     if _LOST in text or _C1.search(text):
         return False
-    return not any(CHAINS[c][0][0] == "utf-8" and invert(text, c) is not None for c in CHAINS)
-
-
-def fit_on(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = 4000, fit_sentences: int = 20_000) -> Model:
-    """Fits on up to ``fit_docs`` documents with non-ASCII text, chosen by a hash of the key, and as many sentences."""
-    sample = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(text).alias("t"), F.col(key).alias("k"))
-    rows = sample.orderBy(F.xxhash64("k"), "k").limit(fit_docs).select("t").collect()
-    pool = list(dict.fromkeys(s for r in rows for s in sentences(r.t) if not s.isascii()))
-    clean = [s for s in pool if _looks_clean(s)][:fit_sentences]
-    model = fit(clean)
-    return fit([s for s in clean if _best(model, s)[0] == CLEAN])
+    return not any(invert(text, c) is not None for c in _UTF8)
+
+
+def word_counts(df: DataFrame, text: str, most_words: int) -> dict[str, int]:
+    """How often words with characters beyond ASCII occur over all texts, those aside that read as misread UTF-8.
+
+    Counted in the JVM with a partial step; words rarer than one in ``most_words`` of all such words, or single, are left
+    out, so that the driver gets at most ``most_words``.
+    """
+    edge = "[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]+"
+    w = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\S*[^\x00-\x7F]\S*)"), F.lit(1))).alias("w"))
+    w = w.select(F.regexp_replace("w", f"^{edge}|{edge}$", "").alias("w")).filter(F.length("w") < 60).groupBy("w").agg(F.count("*").alias("n"))
+    w = materialize(w.filter("n > 1"), "word_counts")
+    total = w.agg(F.sum("n")).first()[0] or 0
+    rows = w.filter(F.col("n") >= max(2, -(-total // most_words))).collect()
+    return {r.w: r.n for r in rows if _looks_clean(r.w)}
+
+
+def fit_on(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = 4000, fit_sentences: int = 20_000, most_words: int = 200_000) -> Model:
+    """Fits on about ``fit_docs`` documents with non-ASCII text, chosen by a hash of the key, and up to ``fit_sentences``
+    of their sentences of at most 1000 characters, cut in the JVM."""
+    d = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(text).alias("t"), F.col(key).alias("k"))
+    share = min(1.0, fit_docs / max(1, d.count()))
+    some = d.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else d
+    s = some.select(F.explode(F.split("t", r"(?<=[.!?:;])(?=\s)|(?<=\n)")).alias("s")).filter(F.col("s").rlike(r"[^\x00-\x7f]") & (F.length("s") <= 1000)).distinct()
+    pool = [r.s for r in s.orderBy(F.xxhash64("s"), "s").limit(fit_sentences + fit_sentences // 2).collect()]
+    clean = [x for x in pool if _looks_clean(x)][:fit_sentences]
+    seen = word_counts(d, "t", most_words)
+    rough = fit(clean, garbled=1500, seen=seen)
+    return fit([x for x in clean if _best(rough, x)[0] == CLEAN], seen=seen)
 
 
 def _plausible(model: Model, chain: str, text: str, back: str, lead: float) -> bool:
@@ -226,24 +254,27 @@ def _plausible(model: Model, chain: str, text: str, back: str, lead: float) -> b
     return gain > 2.5 or gain >= 0 and lead > 25 and model.clean_rate(back) > model.clean_rate(text) + 2
 
 
-def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float = 15.0) -> tuple[str, str | None, float]:
-    """(label, restored text, lead over clean) of one sentence; restored is null where no chain can be inverted."""
+def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float = 15.0, tries: int = 4) -> tuple[str, str | None, float]:
+    """(label, restored text, lead over clean) of one sentence; restored is null where no chain can be inverted.
+
+    Only the ``tries`` likeliest chains are tried, and of those none that trails clean by more than ``slack``.
+    """
     score = model.scores(text)
     if bonus is not None:
         score = score + bonus
     lead = score - score[0]
     order = np.argsort(-score)
+    # misread UTF-8 has no lone character beyond ASCII, so a sentence with one wasn't misread as a whole
     lone = _LONE.search(text) is not None
-    for k in order:
+    for k in [k for k in order if k][:tries]:
         chain = LABELS[k]
-        # UTF-8 that decodes strictly is its own proof, however the classifier ranks it
-        if k == 0 or (lone if CHAINS[chain][0][0] == "utf-8" else lead[k] < -slack):
+        if lead[k] < -slack or lone and chain in _UTF8:
             continue
         back = invert(text, chain)
-        if back is None or back == text or _C1.search(back):
+        if back is None or back == text or _C1.search(back) or garble(back, chain) != text:
             continue
-        again = garble(back, chain)
-        if again is not None and invert(again, chain) == back and _plausible(model, chain, text, back, lead[k]):
+        again = model.scores(back)
+        if again.max() - again[0] <= slack and _plausible(model, chain, text, back, lead[k]):
             return chain, back, float(lead[k])
     # some words damaged, others not: word by word, where each decodes strictly
     for k in order:
@@ -289,7 +320,7 @@ def repair(text: str | None, model: Model, sure: float = 6.0) -> tuple[str, str
 
 def repaired(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None, with_text: bool = False, **fit_args) -> DataFrame:
     """One row per damaged text: key, state (restored, lost), chains, restored_sha256 ('' if lost) and, on demand, restored."""
-    model = model or fit_on(df, text, key, **fit_args)
+    model = model or fitted(df, "encoding_repair", lambda: fit_on(df, text, key, **fit_args), text, key, sorted(fit_args.items()))
     kind = df.schema[key].dataType.simpleString()
     names = ["key", "state", "chains", "restored_sha256", *["restored"] * with_text]
 

@@ -188,9 +188,10 @@ def _sentence_of(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return np.searchsorted(ends, [s for _, s, _ in spans], side="right") if len(ends) else np.zeros(len(spans), np.int64)
 
 
-def fit_on(df: DataFrame, text: Column, label: Column, key: Column, fit_texts: int = 4000, fit_words: int = 120) -> Field:
-    """Fits on up to ``fit_texts`` labelled texts, chosen by a hash of the key, and their first ``fit_words`` words."""
-    rows = df.select(text.alias("t"), label_code(label).alias("l"), key.alias("k")).filter("t is not null and l is not null")
+def fit_on(df: DataFrame, text: Column, label: Column, key: Column, fit_texts: int = 4000, fit_words: int = 120, fit_chars: int = 4000) -> Field:
+    """Fits on up to ``fit_texts`` labelled texts, chosen by a hash of the key, and their first ``fit_words`` words, of
+    which the JVM sends at most ``fit_chars`` characters a text."""
+    rows = df.select(F.substring(text, 1, fit_chars).alias("t"), label_code(label).alias("l"), key.alias("k")).filter("t is not null and l is not null")
     rows = rows.orderBy(F.xxhash64("k"), "k").limit(fit_texts).select("t", "l").distinct().collect()
     code = {c: i for i, c in enumerate(LANGUAGES)}
     spans = [(r.t, words(r.t)[:fit_words], code[r.l]) for r in rows]

@@ -9,9 +9,10 @@ from strataform.functions.jsons import instant_us
 from strataform.llm.addresses import same_building
 from strataform.llm.contamination import leaked
 from strataform.llm.encoding_repair import repaired
-from strataform.llm.languages import fit_on, label_code, labelled
+from strataform.llm.languages import Field, fit_on, label_code, labelled
 from strataform.llm.packing import TOKENIZER, packed, token_counts
 from strataform.llm.survivors import FIELDS, decayed_votes, duplicate_groups, strict_votes, surviving_records, votes, winners
+from strataform.session import fitted
 from strataform.sources.tables import table
 
 
@@ -26,9 +27,14 @@ def _reviews(spark: SparkSession, d: str) -> DataFrame:
     return r.select("raw_sha256", "identity_key", "language", F.coalesce("j.text_original", "j.Description").alias("text"))
 
 
+def _field(reviews: DataFrame) -> Field:
+    """The field fitted to the reviews as labelled; p3_found and p3_segments share it."""
+    return fitted(reviews, "languages", lambda: fit_on(reviews, F.col("text"), F.col("language"), F.col("raw_sha256")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     r = _reviews(spark, d)
-    field = fit_on(r, F.col("text"), F.col("language"), F.col("raw_sha256"))
+    field = _field(r)
     t = labelled(r.select("raw_sha256", "identity_key", label_code(F.col("language")).alias("code"), "text"), "text", field)
     langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
     t = t.select("raw_sha256", "identity_key", "code", langs.alias("langs")).filter(F.size("langs") > 0)
@@ -37,19 +43,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every segment of every review with its language and confidence."""
-    r = _reviews(spark, d).dropDuplicates(["raw_sha256"])
-    field = fit_on(r, F.col("text"), F.col("language"), F.col("raw_sha256"))
-    t = labelled(r.select("raw_sha256", "text"), "text", field)
-    return t.select("raw_sha256", F.posexplode("segments").alias("segment_no", "s")).select("raw_sha256", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.lang", F.round("s.confidence", 6).alias("confidence"), F.col("s.words").alias("words"))
+    """Every segment of every review with its language and confidence, the short and unsure ones too: each word is in one."""
+    r = _reviews(spark, d)
+    t = labelled(r.select("raw_sha256", "text"), "text", _field(r), min_words=1, min_confidence=0.0)
+    t = t.select("raw_sha256", F.posexplode("segments").alias("segment_no", "s"))
+    t = t.select("raw_sha256", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.lang", F.round("s.confidence", 6).alias("confidence"), F.col("s.words").alias("words"))
+    # copies get equal segments, so they are dropped here, without moving their texts
+    return t.dropDuplicates(["raw_sha256", "segment_no"])
 
 
-def p8_packed(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Containers for every capacity; exact copies of a text (case and spacing aside) never share one."""
+def _sized(spark: SparkSession, d: str, tokenizer: str) -> DataFrame:
+    """Documents with source, cluster of equal texts (case and spacing aside) and length in tokens."""
     docs = table(spark, d, "documents", "doc_id", "source", "text")
     cluster = F.xxhash64(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
-    sized = token_counts(docs.select("doc_id", "source", cluster.alias("cluster"), "text"), "text", tokenizer)
-    return packed(sized, table(spark, d, "packing_targets", "target_id", "capacity_tokens"))
+    return token_counts(docs.select("doc_id", "source", cluster.alias("cluster"), "text"), "text", tokenizer)
+
+
+def p8_packed(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Containers for every capacity; exact copies of a text (case and spacing aside) never share one."""
+    return packed(_sized(spark, d, tokenizer), table(spark, d, "packing_targets", "target_id", "capacity_tokens"))
+
+
+#: Sources that must not share a container: what a business says of itself and what is said of it.
+APART = {"owner_reply": ("maps_review",), "listing_description": ("maps_review",)}
+
+
+def p8_separated(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """As ``p8_packed``, with the sources in ``APART`` kept out of each other's containers."""
+    return packed(_sized(spark, d, tokenizer), table(spark, d, "packing_targets", "target_id", "capacity_tokens"), conflicts=APART)
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +101,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repaired(table(spark, d, "documents", "doc_id", "text")).select(F.col("key").alias("doc_id"), "restored_sha256")
 
 
-QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_packed": p8_packed, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_packed": p8_packed, "p8_separated": p8_separated, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
 
 _BLANK = "('', '-', '--', '---', '.', '?', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'not available', 'tbd')"
 

@@ -48,3 +48,20 @@ def test_words_damaged_among_good_ones(model):
     good = "Le propriétaire a été très patient avec nous, ce que je n'attendais pas après la crème brûlée."
     bad = good.replace("propriétaire", R.garble("propriétaire", "utf8_as_cp1252")).replace("crème", R.garble("crème", "utf8_as_cp1252")).replace("brûlée", R.garble("brûlée", "utf8_as_cp1252"))
     assert R.repair(bad, model)[2] in (good, None)
+
+
+def test_the_classifier_decides(model):
+    """A chain it ranks low is not tried, and what it holds for garbled is no result."""
+    text = R.garble("Le propriétaire a été très patient avec nous après la fête.", "utf8_as_cp1252")
+    assert R._best(model, text)[0].startswith("utf8_as")
+    worse = R.Model(model.log_p.copy(), model.log_prior.copy(), model.seen)
+    worse.log_prior[[i for i, c in enumerate(R.LABELS) if c.startswith("utf8_as")]] -= 10_000
+    assert R._best(worse, text)[1] == text
+    blind = R.Model(model.log_p.copy(), model.log_prior.copy(), model.seen)
+    blind.log_prior[0] -= 10_000  # nothing is clean to this one, restored texts neither
+    assert R._best(blind, text)[1] in (None, text)
+
+
+def test_latin1_reading(model):
+    good = "Филиал переехал на первый этаж, управляющий извинился за задержку."
+    assert R.repair(R.garble(good, "utf8_as_latin1"), model)[2] == good
