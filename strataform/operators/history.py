@@ -2,12 +2,16 @@
 
 Method. Statements (key, instant, value) are reduced to one per key and instant, a hash of the value is compared
 with that of the statement before, and only rows whose hash differs are appended to a satellite. Attributes are
-split over two satellites by how often they change, so that the slow one stays small. No end date is stored: the
-view computes it as the start of the next row of the key.
+split over two satellites, each a table of its own, by how often they change, so that the slow one stays small. No end
+date is stored: the view over both computes it as the start of the next row of the key.
 
-Skew. All but hot keys are windowed by key. A key with more than ``hot_rows`` statements is cut into time chunks of
-about ``chunk_rows`` each; every chunk is windowed alone and the borders are joined from a summary with one row per
-chunk. No task holds an unbounded group.
+Further loads only append (``loaded_rows``). A statement later than all its key's statements adds a row if it changes the
+value. One that comes late may part a run of equal values of which the satellite keeps the first only, so the key's rows
+are appended anew from all its statements under the number of the load; the view takes each key's highest load.
+
+Skew. All but hot keys are windowed by key. A key with more than ``hot_rows`` statements is cut at quantiles of its
+instants into chunks of about ``chunk_rows`` each, however its statements cluster in time; every chunk is windowed alone
+and the borders are joined from a summary with one row per chunk. No task holds an unbounded group.
 
 Defined results: rows without a readable instant state nothing and are left out; nulls in key columns are a key value
 of their own; a repeated row counts once; of rows tied on instant and reconciliation the largest ``tie`` stands; an
@@ -35,16 +39,39 @@ def statements(df: DataFrame, keys: list[str], at: Column, value_hash: Column, r
     )
 
 
-def _edges(df: DataFrame, keys: list[str], hot_rows: int, chunk_rows: int, cold, hot) -> DataFrame:
-    """Applies ``cold`` to all keys of up to ``hot_rows`` rows, ``hot`` to the others, which get a ``_chunk``."""
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")).filter(F.col("_n") > hot_rows)
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / chunk_rows)))
-    big = big.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", width.cast("long").alias("_width"))
+#: Hot keys are cut at so many quantiles at most; a chunk is that share of its key where ``chunk_rows`` would be less.
+QUANTILES = 256
+
+
+def _same(df: DataFrame, other: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, null equal to null; the other frame's are named _k0, _k1 and so on."""
     on = F.lit(True)
     for i, k in enumerate(keys):
-        on &= df[k].eqNullSafe(big[f"_k{i}"])
-    few = df.join(big, on, "left_anti")
-    many = df.join(big, on).withColumn("_chunk", F.floor((F.col("_at") - F.col("_lo")) / F.col("_width"))).drop("_lo", "_width", *[f"_k{i}" for i in range(len(keys))])
+        on &= df[k].eqNullSafe(other[f"_k{i}"])
+    return on
+
+
+def _named(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+
+
+def _edges(df: DataFrame, keys: list[str], hot_rows: int, chunk_rows: int, cold, hot) -> DataFrame:
+    """Applies ``cold`` to all keys of up to ``hot_rows`` rows, ``hot`` to the others, which get a ``_chunk``."""
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*_named(keys), "_n")
+    if big.isEmpty():
+        return cold(df)
+    names = [f"_k{i}" for i in range(len(keys))]
+    big = materialize(big, "hot_keys")
+    few = df.join(big, _same(df, big, keys), "left_anti")
+    many = df.join(big, _same(df, big, keys)).drop(*names)
+    bounds = many.groupBy(*keys).agg(F.percentile_approx("_at", [k / QUANTILES for k in range(1, QUANTILES)], 10_000).alias("_q"), F.first("_n").alias("_n"))
+    # as many of the quantiles as the key has chunks, evenly spread
+    chunks = F.least(F.lit(QUANTILES), F.ceil(F.col("_n") / chunk_rows)).cast("int")
+    at = F.transform(F.expr("sequence(1, greatest(_c - 1, 1))"), lambda k: F.element_at("_q", F.least(F.lit(QUANTILES - 1), F.greatest(F.lit(1), F.floor(k * QUANTILES / F.col("_c")).cast("int")))))
+    bounds = bounds.withColumn("_c", chunks).select(*_named(keys), F.array_distinct(at).alias("_b"))
+    bounds = materialize(bounds, "chunk_bounds")
+    chunk = F.size(F.filter("_b", lambda b: b < F.col("_at")))
+    many = many.drop("_n").join(bounds, _same(many, bounds, keys)).withColumn("_chunk", chunk).drop("_b", *names)
     return cold(few).unionByName(hot(many))
 
 
@@ -75,12 +102,25 @@ def changes(stated: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk
     return d.select(*keys, "_at", "_hash", F.col("_p").isNull().alias("_first"))
 
 
-def satellites(changed: DataFrame, keys: list[str], attribute: str, fast_from: float = 4.0) -> DataFrame:
-    """The changed rows with the ``satellite`` of their attribute: fast from ``fast_from`` changes per key on, else slow."""
+SATELLITES = ("slow", "fast")
+
+
+def change_rates(changed: DataFrame, attribute: str, fast_from: float = 4.0) -> DataFrame:
+    """(_attr, satellite): attributes from ``fast_from`` changes per key on are fast, the others slow."""
+    rate = changed.groupBy(attribute).agg((F.count("*") / F.greatest(F.count_if("_first"), F.lit(1))).alias("_rate"))
+    return rate.select(F.col(attribute).alias("_attr"), F.when(F.col("_rate") >= fast_from, "fast").otherwise("slow").alias("satellite"))
+
+
+def split(rows: DataFrame, rates: DataFrame, attribute: str) -> DataFrame:
+    """The rows with the ``satellite`` of their attribute; one not seen when the rates were counted is slow."""
+    return rows.join(rates, rows[attribute].eqNullSafe(rates["_attr"]), "left").drop("_attr").withColumn("satellite", F.coalesce("satellite", F.lit("slow")))
+
+
+def satellites(changed: DataFrame, attribute: str, fast_from: float = 4.0) -> dict[str, DataFrame]:
+    """The changed rows as two tables by the change rates of their attributes."""
     kept = materialize(changed, "changes")
-    rate = kept.groupBy(attribute).agg((F.count("*") / F.greatest(F.count_if("_first"), F.lit(1))).alias("_rate"))
-    rate = rate.select(F.col(attribute).alias("_attr"), F.when(F.col("_rate") >= fast_from, "fast").otherwise("slow").alias("satellite"))
-    return kept.join(rate, kept[attribute].eqNullSafe(rate["_attr"])).drop("_attr")
+    tables = materialize(split(kept, change_rates(kept, attribute, fast_from), attribute), "satellites", ["satellite"])
+    return {s: tables.filter(F.col("satellite") == s).drop("satellite") for s in SATELLITES}
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -88,22 +128,19 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("satellite").parquet(path)
 
 
-def _last(sat: DataFrame, keys: list[str]) -> DataFrame:
+def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(_k0 …, _end, _held): instant and hash of each key's last row."""
-    last = sat.groupBy(*keys).agg(F.max("_at").alias("_end"), F.max_by(F.struct("_hash"), "_at").alias("_held"))
-    return last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_end", "_held")
+    last = rows.groupBy(*keys).agg(F.max("_at").alias("_end"), F.max_by(F.struct("_hash"), "_at").alias("_held"))
+    return last.select(*_named(keys), "_end", "_held")
 
 
 def new_rows(sat: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
     """The rows a further load of statements adds to a satellite: those that change what its key held last.
 
-    For keys with statements no later than their last row (see ``late_keys``) only the later ones count here.
+    For keys with late statements (see ``late_keys``) only those later than their last row count here.
     """
     last = _last(sat, keys)
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on &= stated[k].eqNullSafe(last[f"_k{i}"])
-    j = stated.join(last, on, "left").filter(F.col("_end").isNull() | (F.col("_at") > F.col("_end")))
+    j = stated.join(last, _same(stated, last, keys), "left").filter(F.col("_end").isNull() | (F.col("_at") > F.col("_end")))
     j = j.select(*keys, "_at", "_hash", "_end", "_held")
     c = changes(j.select(*keys, "_at", "_hash"), keys)
     c = c.join(last, [c[k].eqNullSafe(last[f"_k{i}"]) for i, k in enumerate(keys)], "left")
@@ -111,14 +148,32 @@ def new_rows(sat: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
     return c.filter(~repeats).select(*keys, "_at", "_hash", (F.col("_first") & F.col("_end").isNull()).alias("_first"))
 
 
-def late_keys(sat: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with statements no later than their last row. An insert-only satellite has dropped repetitions that such a
-    statement may part, so these keys are built anew from all their statements."""
-    last = _last(sat, keys)
-    on = F.col("_at") <= F.col("_end")
-    for i, k in enumerate(keys):
-        on &= stated[k].eqNullSafe(last[f"_k{i}"])
-    return stated.join(last, on, "left_semi").select(*keys).distinct()
+def late_keys(held: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with statements no later than their last one in ``held``: the statements loaded before, or a satellite whose
+    statements all changed something."""
+    last = _last(held, keys)
+    return stated.join(last, (F.col("_at") <= F.col("_end")) & _same(stated, last, keys), "left_semi").select(*keys).distinct()
+
+
+def loaded_rows(sat: DataFrame, before: DataFrame, stated: DataFrame, every: DataFrame, keys: list[str], load: int) -> DataFrame:
+    """(keys, _at, _hash, _first, _load): what load number ``load`` appends to a satellite with such rows.
+
+    ``before`` holds the statements of earlier loads, ``stated`` the new ones, ``every`` both, one per key and instant.
+    """
+    late = materialize(late_keys(before, stated, keys).select(*_named(keys)), "late_keys")
+    anew = changes(every.join(late, _same(every, late, keys), "left_semi"), keys).withColumn("_load", F.lit(load))
+    rest = stated.join(late, _same(stated, late, keys), "left_anti")
+    stands = standing(sat, keys)
+    number = stands.groupBy(*keys).agg(F.first("_load").alias("_load")).select(*_named(keys), "_load")
+    more = new_rows(stands.drop("_load"), rest, keys)
+    more = more.join(number, _same(more, number, keys), "left").select(*more.columns, F.coalesce("_load", F.lit(load)).alias("_load"))
+    return anew.unionByName(more)
+
+
+def standing(sat: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a satellite that count: of each key those of its highest load."""
+    top = sat.groupBy(*keys).agg(F.max("_load").alias("_top")).select(*_named(keys), "_top")
+    return sat.join(top, _same(sat, top, keys) & (sat["_load"] == top["_top"])).select(*sat.columns)
 
 
 def next_start(df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
@@ -140,18 +195,47 @@ def next_start(df: DataFrame, keys: list[str], order: list[str], out: str, hot_r
 
 
 def history_view(sat: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
-    """Versions (keys, satellite, _at, _hash, _to): ``_to`` is the next row's start, null while open."""
+    """Versions (keys, _at, _hash, _to) of one satellite: ``_to`` is the next row's start, null while open."""
     return next_start(sat, keys, ["_at"], "_to", hot_rows, chunk_rows).filter(F.col("_hash").isNotNull())
 
 
-def fact_history(facts: DataFrame, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
-    """Versions of every (subject_id, predicate, fact_slot): valid_from_s, valid_to_s (-1 while open), satellite."""
-    keys = ["subject_id", "predicate", "fact_slot"]
+FACT_KEYS = ["subject_id", "predicate", "fact_slot"]
+
+
+def fact_statements(facts: DataFrame) -> DataFrame:
     held = F.when(F.col("status").isin(*NO_VALUE), None).otherwise(F.xxhash64(canonical_json(F.col("value_json"))))
     held = F.when(F.col("value_json").isNotNull(), held)
-    stated = statements(facts, keys, instant_us(F.col("valid_from")), held, [instant_us(F.col("reconciled_at")), F.col("id")])
-    sat = satellites(changes(stated, keys, hot_rows, chunk_rows), keys, "predicate")
+    return statements(facts, FACT_KEYS, instant_us(F.col("valid_from")), held, [instant_us(F.col("reconciled_at")), F.col("id")])
+
+
+def _versions(view: DataFrame, *more: str) -> DataFrame:
     seconds = lambda c: F.floor(F.col(c) / 1_000_000).cast("long")
-    return history_view(sat, keys, hot_rows, chunk_rows).select(
-        *keys, seconds("_at").alias("valid_from_s"), F.coalesce(seconds("_to"), F.lit(-1)).cast("long").alias("valid_to_s"), "satellite"
-    )
+    return view.select(*FACT_KEYS, seconds("_at").alias("valid_from_s"), F.coalesce(seconds("_to"), F.lit(-1)).cast("long").alias("valid_to_s"), *more)
+
+
+def fact_history(facts: DataFrame, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """Versions of every (subject_id, predicate, fact_slot): valid_from_s, valid_to_s (-1 while open), satellite."""
+    stated = materialize(fact_statements(facts), "statements")
+    sat = satellites(changes(stated, FACT_KEYS, hot_rows, chunk_rows), "predicate")
+    views = [history_view(sat[s], FACT_KEYS, hot_rows, chunk_rows).withColumn("satellite", F.lit(s)) for s in SATELLITES]
+    return _versions(views[0].unionByName(views[1]), "satellite")
+
+
+def fact_history_in_loads(facts: DataFrame, loads: list[Column], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """As ``fact_history``, with the facts arriving in several loads, each told by a condition, into insert-only satellites.
+
+    The first load's change rates say which satellite an attribute belongs to from then on.
+    """
+    sat, before, rates, so_far = None, None, None, F.lit(False)
+    for number, mine in enumerate(loads):
+        so_far = so_far | mine
+        every = materialize(fact_statements(facts.filter(so_far)), "statements")
+        if sat is None:
+            rows = materialize(changes(every, FACT_KEYS, hot_rows, chunk_rows).withColumn("_load", F.lit(number)), "changes")
+            rates = materialize(change_rates(rows, "predicate"), "rates")
+        else:
+            rows = loaded_rows(sat.drop("satellite"), before, fact_statements(facts.filter(mine)), every, FACT_KEYS, number)
+        rows = materialize(split(rows, rates, "predicate"), "satellites", ["satellite"])
+        sat, before = rows if sat is None else sat.unionByName(rows), every
+    views = [history_view(standing(sat.filter(F.col("satellite") == s).drop("satellite"), FACT_KEYS), FACT_KEYS, hot_rows, chunk_rows) for s in SATELLITES]
+    return _versions(views[0].unionByName(views[1]))

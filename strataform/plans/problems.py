@@ -6,15 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.operators.flatten import ROOT, flat_rows, flat_table, keyed_rows, nested_objects
-from strataform.operators.history import fact_history
+from strataform.functions.jsons import instant_us
+from strataform.operators.history import fact_history, fact_history_in_loads
 from strataform.operators.spatial import near_and_within
 from strataform.operators.timestamps import normalise
 from strataform.sources.tables import table
 
 
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "facts", "id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from", "reconciled_at")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    facts = table(spark, d, "facts", "id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from", "reconciled_at")
-    return fact_history(facts).drop("satellite")
+    return fact_history(_statements(spark, d)).drop("satellite")
+
+
+#: Loads of ``p1_loads`` end at these instants: 2024-01-01, 2025-01-01 and never.
+LOADS_US = (1_704_067_200_000_000, 1_735_689_600_000_000)
+
+
+def p1_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The history of p1_found, its facts arriving in three loads by ``reconciled_at``, with late statements and corrections."""
+    at = F.coalesce(instant_us(F.col("reconciled_at")), F.lit(0))
+    first, second = LOADS_US
+    return fact_history_in_loads(_statements(spark, d), [at < first, (at >= first) & (at < second), at >= second])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("table_name", "row_key", "instant_us").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_rows": p4_rows, **_P4, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_loads": p1_loads, "p2_found": p2_found, "p4_found": p4_found, "p4_rows": p4_rows, **_P4, "p7_found": p7_found}
 
 _OK = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
 SQL = {
@@ -85,3 +100,4 @@ d as (select a.id x, b.id y, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.latitud
 select 'near' relation, x left_id, y right_id from d where m <= 120 union all
 select 'in', id, area_id from p join areas on latitude between min_lat and max_lat and (case when min_lon <= max_lon then longitude between min_lon and max_lon else longitude >= min_lon or longitude <= max_lon end)""",
 }
+SQL["p1_loads"] = SQL["p1_found"]

@@ -88,13 +88,44 @@ def test_loads_in_order_append_what_one_load_gives(spark, data, tmp_path):
     stated = history.statements(facts, keys, at, held, [history.instant_us(F.col("reconciled_at")), F.col("id")]).cache()
     mid = stated.approxQuantile("_at", [0.5], 0.0)[0]
     path = str(tmp_path / "sat")
-    first = history.satellites(history.changes(stated.filter(F.col("_at") <= mid), keys), keys, "predicate")
-    history.append(first, path)
+    first = history.changes(stated.filter(F.col("_at") <= mid), keys)
+    rates = history.change_rates(first, "predicate").cache()
+    history.append(history.split(first, rates, "predicate"), path)
     later = stated.filter(F.col("_at") > mid)
     sat = spark.read.parquet(path)
     assert history.late_keys(sat, later, keys).count() == 0
-    history.append(history.new_rows(sat, later, keys).withColumn("satellite", F.lit("fast")), path)
+    history.append(history.split(history.new_rows(sat, later, keys), rates, "predicate"), path)
     whole = lambda d: {tuple(r) for r in history.history_view(d, keys).select(*keys, "_at", "_to").collect()}
     assert whole(spark.read.parquet(path)) == whole(history.changes(stated, keys))
     early = stated.orderBy("_at").limit(1)
     assert history.late_keys(spark.read.parquet(path), early, keys).count() == 1
+
+
+def test_late_statements_only_append(spark):
+    """A statement between two equal ones parts them, though the satellite kept but the first."""
+    r = lambda i, v, day, rec: (i, "s", "p", None, v, "confirmed", f"2024-01-{day:02}T00:00:00Z", f"2024-0{rec}-01T00:00:00Z", "9", "x")
+    rows = [r("1", "1", 1, 2), r("2", "1", 9, 2), r("3", "2", 5, 3), r("4", "3", 12, 3), r("5", "7", 5, 4), r("6", "3", 14, 4)]
+    facts = spark.createDataFrame(rows, COLS)
+    loads = [F.col("reconciled_at").startswith(f"2024-0{k}") for k in (2, 3, 4)]
+    got = {tuple(x) for x in history.fact_history_in_loads(facts, loads).collect()}
+    assert got == brute([x.asDict() for x in facts.collect()]) and len(got) == 4
+    first = history.changes(history.fact_statements(facts.filter(loads[0])), history.FACT_KEYS).withColumn("_load", F.lit(0))
+    every = history.fact_statements(facts.filter(loads[0] | loads[1]))
+    added = history.loaded_rows(first, history.fact_statements(facts.filter(loads[0])), history.fact_statements(facts.filter(loads[1])), every, history.FACT_KEYS, 1)
+    assert added.count() == 4 and first.count() == 1  # nothing of the first load is touched
+
+
+def test_burst_of_a_hot_key_is_cut(spark):
+    """All but two of a key's instants fall into one second of forty years; no chunk exceeds what it should hold."""
+    n = 40_000
+    d = spark.range(n).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, 0).when(F.col("id") == 1, 1_262_304_000_000_000).otherwise(700_000_000_000_000 + F.col("id") * 25).alias("_at"), (F.col("id") % 3).alias("_hash"))
+    sizes = []
+
+    def hot(chunked):
+        sizes.extend(r["count"] for r in chunked.groupBy("_chunk").count().collect())
+        return chunked.drop("_chunk")
+
+    assert history._edges(d, ["k"], 1000, 2000, lambda x: x, hot).count() == n
+    assert max(sizes) <= 2 * 2000 and len(sizes) >= 18
+    got = history.changes(d, ["k"], 1000, 2000)
+    assert got.count() == history.changes(d, ["k"]).count()
