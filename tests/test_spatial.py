@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 
-from strataform.operators.spatial import EARTH_M, near_and_within
+from pyspark.sql import functions as F
+
+from strataform.operators.spatial import EARTH_M, Tree, accepted_pairs, containing_regions, near_and_within, near_pairs, points
 from strataform.plans.problems import p2_found
 
 B = "id long, latitude double, longitude double, key string"
@@ -46,3 +48,25 @@ def test_poles_meridian_copies_blocks(spark):
 
 def test_empty(spark):
     assert near_and_within(spark.createDataFrame([], B), spark.createDataFrame([], A)).count() == 0
+
+
+def test_accepted_nodes_are_not_descended(spark):
+    """A crowd within a few metres ends at an inner node, as one pair; its points are paired from there."""
+    rng = np.random.default_rng(4)
+    pts = [(k, 45 + float(a), 45 + float(o)) for k, (a, o) in enumerate(rng.uniform(0, 0.0003, (200, 2)))] + [(500 + k, -10.0 + k, 3.0) for k in range(40)]
+    tree = Tree(points(spark.createDataFrame([(*p, "x") for p in pts], B)), 4, 64)
+    pairs = accepted_pairs(tree, 120.0).collect()
+    assert [r for r in pairs if r.sure and not (r.a_leaf and r.b_leaf)]
+    inner = {r.key: r.n for r in tree.nodes.filter("not leaf").collect()}
+    assert sum(inner.get(r.a_key, 0) for r in pairs if r.sure and r.a_key == r.b_key) >= 200
+    assert {("near", *r) for r in near_pairs(tree, 120.0).collect()} == brute(pts, [])
+
+
+def test_hot_leaf_is_joined_in_blocks(spark):
+    """Twenty regions around twenty thousand points at one place: no key of a join has more than about a block."""
+    rows = spark.range(20_000).select("id", F.lit(45.0).alias("latitude"), F.lit(45.0).alias("longitude"))
+    tree = Tree(points(rows), 32, 512)
+    areas = spark.createDataFrame([(k, 44.0 - k, 44.0, 46.0, 46.0 + k) for k in range(20)], A)
+    assert tree.points.groupBy("key", "block").count().agg(F.max("count")).first()[0] <= 2 * 512
+    assert tree.members(tree.nodes.filter("not leaf").select("key")).groupBy("key", "block").count().agg(F.max("count")).first()[0] <= 2 * 512
+    assert containing_regions(tree, areas).count() == 20 * 20_000
