@@ -1,11 +1,13 @@
 """Timestamps of many notations and zones as one UTC instant.
 
 Method. Every value is read under each notation that fits it; a reading that needs a zone takes it from the value,
-else from the row. Values that fit several notations (day and month with slashes and no locale) are settled by
-expectation-maximisation over each source's mixture of notations: a value adds to the likelihood of every notation
-under which it is valid, in proportion to the current mixture; at the end the posterior picks the reading, or the value
-is marked ambiguous where no reading reaches ``sure``. The mixture sees counts per (source, set of valid notations)
-only, at most a few dozen rows per source, gathered with a partial aggregation.
+else from the row. Day and month with slashes fit two notations. Expectation-maximisation over each source's mixture of
+notations settles them: a value adds to every notation under which it is valid, in proportion to the current mixture
+times the prior its locale gives the notation; at the end the posterior picks the reading, or the value is marked
+ambiguous where no reading reaches ``sure``. A locale leaves the other order a prior of ``AGAINST``, so small that no
+mixture outweighs it; a value that only reads against its locale is marked contradicted, not read. The mixture sees
+counts per (source, set of valid notations, priors) only, at most a few dozen rows per source, gathered with a partial
+aggregation.
 
 Defined results: null, empty, relative and date-only values and local times without a zone have no instant
 (``reading`` says why); a wall time that occurs twice is the earlier instant; one that is skipped moves forward by the
@@ -49,6 +51,10 @@ _FAST = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.(\d{6}))?\+0
 #: Locales that write the month first; all others write the day first.
 MONTH_FIRST = ("en-us", "en_us", "us", "en-ph", "en_ph")
 DAY, US = 86_400, 1_000_000
+#: Prior of an order of day and month that the locale speaks against.
+AGAINST = 1e-30
+#: Evidence below which a value counts as contradicted: between ``AGAINST`` and the least weight of any notation.
+LEAST_EVIDENCE = 1e-20
 
 
 @lru_cache(maxsize=4096)
@@ -109,18 +115,18 @@ def _instant(g: dict, y: int, mo: int, d: int, tz: str | None) -> tuple[str, int
     return "ok", (base - shift) * US + frac
 
 
-def readings(value: str | None, tz: str | None, locale: str | None) -> tuple[str, list[tuple[str, int]]]:
-    """(state, [(notation, instant_us)]). State: canonical, read, or why there is no reading."""
+def readings(value: str | None, tz: str | None, locale: str | None) -> tuple[str, list[tuple[str, int, float]]]:
+    """(state, [(notation, instant_us, prior)]). State: canonical, read, or why there is no reading."""
     if value is None:
         return "null", []
     if m := _FAST.match(value):
         y, mo, d, h, mi, s, f = m.groups()
         why, at = _instant({"h": h, "mi": mi, "s": s, "f": f, "off": "+00:00"}, int(y), int(mo), int(d), None)
-        return ("canonical", [("iso", at)]) if at is not None else (why, [])
+        return ("canonical", [("iso", at, 1.0)]) if at is not None else (why, [])
     text = value.strip()
     if text.isdigit() and len(text) in _EPOCH:
         name, mul, div = _EPOCH[len(text)]
-        return "read", [(name, int(text) * mul // div)]
+        return "read", [(name, int(text) * mul // div, 1.0)]
     why = "unread"
     for name, shape in _SHAPES.items():
         m = shape.fullmatch(text)
@@ -130,26 +136,27 @@ def readings(value: str | None, tz: str | None, locale: str | None) -> tuple[str
         y = int(g["y"])
         if name == "slashed":
             a, b = int(g["a"]), int(g["b"])
-            orders = {"mdy": (a, b), "dmy": (b, a)}
-            if locale:
-                orders = {k: v for k, v in orders.items() if (k == "mdy") == (locale.lower() in MONTH_FIRST)}
+            first = locale is not None and locale.lower() in MONTH_FIRST
             found = []
-            for k, (mo, d) in orders.items():
+            for k, (mo, d) in (("mdy", (a, b)), ("dmy", (b, a))):
                 why, at = _instant(g, y, mo, d, tz)
                 if at is not None:
-                    found.append((k, at))
-            found = found[:1] if len({at for _, at in found}) == 1 else found
+                    found.append((k, at, 1.0 if not locale or (k == "mdy") == first else AGAINST))
+            # equal instants need no choice
+            if len(found) == 2 and found[0][1] == found[1][1]:
+                found = [max(found, key=lambda f: f[2])]
+            found.sort(key=lambda f: -f[2])
         else:
             mo = MONTHS.get(g["mn"][:3].lower(), 0) if name == "named" else int(g["mo"])
             why, at = _instant(g, y, mo, int(g["d"]), tz)
-            found = [(name, at)] if at is not None else []
+            found = [(name, at, 1.0)] if at is not None else []
         if found:
             return "read", found
     return why, []
 
 
 def read_values(df: DataFrame) -> DataFrame:
-    """Adds (state, notations, instants) to (…, value, time_zone, locale); the last three columns by position."""
+    """Adds (state, notations, instants, priors) to (…, value, time_zone, locale); the last three columns by position."""
     names = df.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,24 +164,28 @@ def read_values(df: DataFrame) -> DataFrame:
             n = batch.num_columns
             out = [readings(*r) for r in zip(*[batch.column(k).to_pylist() for k in (n - 3, n - 2, n - 1)])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n - 3], pa.array([s for s, _ in out], pa.string()), pa.array([[k for k, _ in r] for _, r in out], pa.list_(pa.string())), pa.array([[at for _, at in r] for _, r in out], pa.list_(pa.int64()))],
-                [*names[:-3], "state", "notations", "instants"],
+                [*batch.columns[: n - 3], pa.array([s for s, _ in out], pa.string()), pa.array([[k for k, _, _ in r] for _, r in out], pa.list_(pa.string())), pa.array([[at for _, at, _ in r] for _, r in out], pa.list_(pa.int64())), pa.array([[p for _, _, p in r] for _, r in out], pa.list_(pa.float64()))],
+                [*names[:-3], "state", "notations", "instants", "priors"],
             )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-3])
-    return df.mapInArrow(scan, f"{kept}, state string, notations array<string>, instants array<bigint>")
+    return df.mapInArrow(scan, f"{kept}, state string, notations array<string>, instants array<bigint>, priors array<double>")
 
 
 def em_weights(counts: dict[tuple, int], rounds: int = 50, prior: float = 0.5, tol: float = 1e-9) -> dict[str, float]:
-    """Mixture weights of notations from counts per set of notations under which a value is valid."""
-    names = sorted({n for valid in counts for n in valid})
+    """Mixture weights of notations from counts per set of notations under which a value is valid, given as names or as
+    (name, prior of the value) pairs."""
+    sets = [(tuple(v if isinstance(v, tuple) else (v, 1.0) for v in valid), c) for valid, c in counts.items()]
+    names = sorted({n for valid, _ in sets for n, _ in valid})
     w = {n: 1.0 / len(names) for n in names}
     for _ in range(rounds):
         gain = {n: prior for n in names}
-        for valid, c in counts.items():
-            total = sum(w[n] for n in valid)
-            for n in valid:
-                gain[n] += c * w[n] / total
+        for valid, c in sets:
+            total = sum(w[n] * p for n, p in valid)
+            if total < LEAST_EVIDENCE:
+                continue
+            for n, p in valid:
+                gain[n] += c * w[n] * p / total
         total = sum(gain.values())
         new = {n: g / total for n, g in gain.items()}
         moved = max(abs(new[n] - w[n]) for n in names)
@@ -185,23 +196,24 @@ def em_weights(counts: dict[tuple, int], rounds: int = 50, prior: float = 0.5, t
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    w = em_weights({tuple(v): int(n) for v, n in zip(pdf["notations"], pdf["n"])})
+    w = em_weights({tuple((n, float(p)) for n, p in zip(v, ps)): int(n) for v, ps, n in zip(pdf["notations"], pdf["priors"], pdf["n"])})
     return pd.DataFrame({"source": [pdf["source"].iloc[0]], "weights": [w]})
 
 
 def normalise(values: DataFrame, sure: float = 0.9) -> DataFrame:
     """(table_name, row_key, source, value, time_zone, locale) → (table_name, row_key, state, instant_us, posterior).
 
-    ``state`` is canonical, read, ambiguous, or the reason for having no instant.
+    ``state`` is canonical, read, ambiguous, contradicted, or the reason for having no instant.
     """
     read = materialize(read_values(values.select("table_name", "row_key", "source", "value", "time_zone", "locale")), "readings")
-    counts = read.filter(F.size("notations") > 0).groupBy("source", "notations").agg(F.count("*").alias("n"))
+    counts = read.filter(F.size("notations") > 0).groupBy("source", "notations", "priors").agg(F.count("*").alias("n"))
     weights = counts.groupBy("source").applyInPandas(_fit, "source string, weights map<string,double>")
     joined = read.join(weights.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    weight = F.transform("notations", lambda n: F.coalesce(F.try_element_at("weights", n), F.lit(0.0)))
+    weight = F.zip_with("notations", "priors", lambda n, p: F.coalesce(F.try_element_at("weights", n), F.lit(0.0)) * p)
     scored = joined.withColumn("w", weight).withColumn("top", F.array_max("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     best = F.element_at("instants", F.array_position("w", F.col("top")).cast("int"))
-    scored = scored.select("table_name", "row_key", "state", "instants", F.when(F.size("w") > 0, best).alias("best"), (F.col("top") / total).alias("p"))
+    scored = scored.select("table_name", "row_key", "state", "instants", F.when(F.size("w") > 0, best).alias("best"), (F.col("top") / total).alias("p"), "top")
+    against = F.coalesce(F.col("top") < LEAST_EVIDENCE, F.lit(False))
     unsure = (F.size("instants") > 1) & (F.coalesce("p", F.lit(0.0)) < sure)
-    return scored.select("table_name", "row_key", F.when(unsure, "ambiguous").otherwise(F.col("state")).alias("state"), F.when(~unsure, F.col("best")).alias("instant_us"), F.col("p").alias("posterior"))
+    return scored.select("table_name", "row_key", F.when(against, "contradicted").when(unsure, "ambiguous").otherwise(F.col("state")).alias("state"), F.when(~unsure & ~against, F.col("best")).alias("instant_us"), F.col("p").alias("posterior"))

@@ -72,18 +72,27 @@ _P4 = {name: _p4_table(name, path) for name, path in P4_TABLES.items()}
 p4_reviews, p4_images = _P4["p4_reviews"], _P4["p4_images"]
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _times(spark: SparkSession, d: str) -> DataFrame:
     hints = "time_zone string, locale string"
     e = table(spark, d, "evidence_items", "id", "source_id", "retrieved_at", "metadata_json")
     e = e.select(F.lit("evidence_items").alias("table_name"), F.col("id").alias("row_key"), F.col("source_id").alias("source"), F.col("retrieved_at").alias("value"), F.from_json("metadata_json", hints).alias("h"))
     r = table(spark, d, "parsed_reviews", "raw_sha256", "source", "published_at", "raw_json")
     r = r.select(F.lit("parsed_reviews").alias("table_name"), F.col("raw_sha256").alias("row_key"), F.concat(F.lit("review:"), F.coalesce("source", F.lit(""))).alias("source"), F.col("published_at").alias("value"), F.from_json("raw_json", hints).alias("h"))
-    values = e.unionByName(r).select("table_name", "row_key", "source", "value", "h.time_zone", "h.locale")
-    found = normalise(values).filter((F.col("state") == "read") & F.col("instant_us").isNotNull())
+    return normalise(e.unionByName(r).select("table_name", "row_key", "source", "value", "h.time_zone", "h.locale"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _times(spark, d).filter((F.col("state") == "read") & F.col("instant_us").isNotNull())
     return found.select("table_name", "row_key", "instant_us").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_loads": p1_loads, "p2_found": p2_found, "p4_found": p4_found, "p4_rows": p4_rows, **_P4, "p7_found": p7_found}
+def p7_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    """The values that name no one instant, and why: ambiguous, contradicted, no_zone, unknown_zone, invalid, unread."""
+    left = _times(spark, d).filter(F.col("instant_us").isNull() & (F.col("state") != "null"))
+    return left.select("table_name", "row_key", "state").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_loads": p1_loads, "p2_found": p2_found, "p4_found": p4_found, "p4_rows": p4_rows, **_P4, "p7_found": p7_found, "p7_unresolved": p7_unresolved}
 
 _OK = "latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)"
 SQL = {

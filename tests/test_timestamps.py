@@ -57,3 +57,15 @@ def test_mixture_settles_or_stays_open(spark):
 def test_whole_tables(spark, data):
     got = p7_found(spark, data)
     assert got.count() == got.select("table_name", "row_key").distinct().count() > 100
+
+
+def test_locale_is_a_prior_of_the_mixture(spark):
+    """A locale decides against any mixture; a value that reads only against it is contradicted; none of it without priors."""
+    cols = "table_name string, row_key string, source string, value string, time_zone string, locale string"
+    crowd = [("t", f"a{k}", "A", f"{k % 9 + 1}/{20}/2024 10:00:00", "UTC", None) for k in range(200)]
+    rows = crowd + [("t", "gb", "A", "3/4/2024 10:00:00", "UTC", "en-GB"), ("t", "us", "A", "3/4/2024 10:00:00", "UTC", "en-US"), ("t", "bare", "A", "3/4/2024 10:00:00", "UTC", None), ("t", "bad", "A", "3/20/2024 10:00:00", "UTC", "de")]
+    got = {r.row_key: (r.state, r.instant_us) for r in normalise(spark.createDataFrame(rows, cols)).collect()}
+    april, march = 1712138400000000, 1709546400000000
+    assert got["gb"] == ("read", april) and got["us"] == got["bare"] == ("read", march) and got["bad"] == ("contradicted", None)
+    assert em_weights({(("mdy", 1.0), ("dmy", 1e-30)): 5, (("dmy", 1.0),): 5})["mdy"] > 0.4
+    assert [n for n, _, _ in readings("3/4/2024 10:00:00", "UTC", "en-GB")[1]] == ["dmy", "mdy"]
