@@ -306,8 +306,9 @@ def flat_rows(df: DataFrame, id_col: str, column: str, schema: Schema | None = N
 
 
 def _keys() -> list:
-    """row_key and parent_key; rows of the root table have no parent, those right below it have the record."""
-    key = lambda path: F.xxhash64("id", path)
+    """row_key and parent_key, 128 bits of (id, path), so that no two rows of a corpus share one; rows of the root table
+    have no parent, those right below it have the record."""
+    key = lambda path: F.md5(F.concat_ws("\0", F.col("id").cast("string"), path))
     return [key(F.col("path")).alias("row_key"), F.when(F.col("table") != ROOT, key(F.col("parent_path"))).alias("parent_key")]
 
 
