@@ -5,7 +5,8 @@ sentence with non-ASCII characters, which chain of encodings garbled it, or that
 sentences of a bounded sample of documents (``fit_docs``, by hash of the id) that are garbled synthetically with every
 chain; a second round drops the sample's own garbled sentences. The ``tries`` likeliest chains are inverted, in the
 classifier's order; a result counts only if every byte decodes strictly, garbling it again gives the text as found, and
-the classifier takes it for clean (no chain leads by more than ``slack``). A chain the classifier ranks lower is not tried. Sentences are cut at ASCII marks,
+the classifier takes it for clean: no chain leads clean by more than ``slack``, or, where strict UTF-8 speaks for the
+result, by more than a quarter of the lead that the text as found had. A chain the classifier ranks lower is not tried. Sentences are cut at ASCII marks,
 which every chain leaves alone. One chain tends to rule a document, so the chains of a document's clear sentences weigh
 on its unclear ones. Chains between one-byte encodings decode anything, so there the restored words must also be the more
 frequent ones, as counted over all documents.
@@ -223,8 +224,8 @@ def word_counts(df: DataFrame, text: str, most_words: int) -> dict[str, int]:
     out, so that the driver gets at most ``most_words``.
     """
     edge = "[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]+"
-    w = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\S*[^\x00-\x7F]\S*)"), F.lit(1))).alias("w"))
-    w = w.select(F.regexp_replace("w", f"^{edge}|{edge}$", "").alias("w")).filter(F.length("w") < 60).groupBy("w").agg(F.count("*").alias("n"))
+    w = df.select(F.explode(F.filter(F.split(text, r"\s+"), lambda x: x.rlike(r"[^\x00-\x7F]"))).alias("w"))
+    w = w.select(F.lower(F.regexp_replace("w", f"^{edge}|{edge}$", "")).alias("w")).filter(F.length("w") < 60).groupBy("w").agg(F.count("*").alias("n"))
     w = materialize(w.filter("n > 1"), "word_counts")
     total = w.agg(F.sum("n")).first()[0] or 0
     rows = w.filter(F.col("n") >= max(2, -(-total // most_words))).collect()
@@ -254,6 +255,12 @@ def _plausible(model: Model, chain: str, text: str, back: str, lead: float) -> b
     return gain > 2.5 or gain >= 0 and lead > 25 and model.clean_rate(back) > model.clean_rate(text) + 2
 
 
+def _taken_for_clean(model: Model, text: str, most: float) -> bool:
+    """Whether no chain leads clean by more than ``most``."""
+    score = model.scores(text)
+    return bool(score.max() - score[0] <= most)
+
+
 def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float = 15.0, tries: int = 4) -> tuple[str, str | None, float]:
     """(label, restored text, lead over clean) of one sentence; restored is null where no chain can be inverted.
 
@@ -263,6 +270,8 @@ def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float
     if bonus is not None:
         score = score + bonus
     lead = score - score[0]
+    if lead[1:].max() < -slack:
+        return CLEAN, text, 0.0
     order = np.argsort(-score)
     # misread UTF-8 has no lone character beyond ASCII, so a sentence with one wasn't misread as a whole
     lone = _LONE.search(text) is not None
@@ -273,8 +282,7 @@ def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float
         back = invert(text, chain)
         if back is None or back == text or _C1.search(back) or garble(back, chain) != text:
             continue
-        again = model.scores(back)
-        if again.max() - again[0] <= slack and _plausible(model, chain, text, back, lead[k]):
+        if _taken_for_clean(model, back, max(slack, lead[k] / 4 if chain in _UTF8 else 0)) and _plausible(model, chain, text, back, lead[k]):
             return chain, back, float(lead[k])
     # some words damaged, others not: word by word, where each decodes strictly
     for k in order:
@@ -282,7 +290,7 @@ def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float
             break
         if CHAINS[LABELS[k]][0][0] == "utf-8":
             back = "".join(p if p.isascii() else invert(p, LABELS[k]) or p for p in re.split(r"(\s+)", text))
-            if back != text and not _C1.search(back) and model.familiar(back) > model.familiar(text) + 2.5:
+            if back != text and not _C1.search(back) and model.familiar(back) > model.familiar(text) + 2.5 and _taken_for_clean(model, back, slack):
                 return LABELS[k], back, float(lead[k])
     top = int(order[0])
     broken = top and CHAINS[LABELS[top]][0][0] == "utf-8" and model.familiar(text) < 0
