@@ -1,13 +1,18 @@
 """Postal addresses that denote the same building.
 
 Method. An address is cut into parts (house number, street, localities, postcode; suites, floors and the like are
-dropped). Which names are cities, and which city a district or postcode belongs to, is counted over all addresses.
-Addresses become classes of equal (city, number, street). Classes are banded by MinHash over street tokens and q-grams
-that carry city and number, so that only spellings of one number in one city can meet. Candidates are verified by an
-affine-gap alignment of street tokens whose substitution costs know abbreviations, ordinals and typing errors.
-
-Skew. Equal spellings are one class however many rows have them; bands see classes only. Members are joined to class
-pairs in blocks of ``block_rows``, so that no task takes a whole hot class. The pairs themselves are the result.
+dropped). Which names are cities, and which city a district or postcode belongs to, is counted over all addresses; a
+rare name one or two letters from a frequent city counts as that city. Addresses become classes of equal (city, number,
+street). Classes are banded by MinHash over street tokens and q-grams that carry city and number, so that only spellings
+of one number in one city can meet: another number is another building by the task's own terms. A band is two MinHash
+values; of two spellings that share four tenths of their shingles ``bands`` of them miss one in a thousand. Candidates
+are verified by an affine-gap alignment of street tokens whose substitution costs know abbreviations, ordinals and
+typing errors.
+
+Skew. Equal spellings are one class however many rows have them; bands see classes only, as pairs of numbers, and meet
+in shuffled joins that AQE splits where a bucket is hot. ``same_building`` expands classes to pairs of rows, in blocks of
+``block_rows``, so that no task takes a whole hot class; that result grows with the square of a building by its
+definition. ``buildings`` gives one row per address and its building instead.
 
 Defined results: null, empty and placeholder addresses, and those without a number, a street or any locality that
 tells the city, take no part; a repeated row counts once; an address is never paired with itself; very long texts are
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.text import no_placeholder
+from strataform.operators.components import components
 from strataform.session import materialize
 
 #: Street types and their abbreviations.
@@ -47,7 +53,10 @@ _SUB = re.compile(
 )
 _CUT = re.compile(r"[,;\n\r\t|]+|\s+[-–—]\s+")
 _NO = r"(?:(?:number|num|no|nr)\b\.?\s*|#\s*)?"
-_POST = re.compile(r"(?:(?P<a>[^\d]*?)\s*\b)?(?P<p>\d{3}\s?\d{3}|\d{5})(?:\b\s*(?P<b>[^\d]*))?")
+_POST = re.compile(r"(?:(?P<a>[^\d]*?)\s*\b)?(?P<p>\d{3}\s?\d{3}|\d{5}(?:-\d{4})?|[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2})(?:\b\s*(?P<b>[^\d]*))?")
+#: Five digits are a house number only beside a street type; alone they are a postcode.
+_LONG_FRONT = re.compile(r"(?:(?:number|num|no|nr)\b\.?\s*|#\s*)?(\d{5}[a-z]?)\s+(.*[^\W\d].*)")
+_LONG_BACK = re.compile(r"(.*?[^\W\d].*?)\s+(?:(?:number|num|no|nr)\b\.?\s*|#\s*)?(\d{5}[a-z]?)\.?")
 _ALONE = re.compile(_NO + r"(\d{1,4}[a-z]?)\.?")
 _FRONT = re.compile(_NO + r"(\d{1,4}[a-z]?)\.?\s+(.*[^\W\d].*)")
 _BACK = re.compile(r"(.*?[^\W\d].*?)\s+" + _NO + r"(\d{1,4}[a-z]?)\.?")
@@ -80,6 +89,11 @@ def street_tokens(text: str) -> list[str]:
     return out
 
 
+def _ends_in_type(street: str) -> bool:
+    words = re.findall(r"[^\W\d_]+", street)
+    return len(words) > 1 and words[-1] in TYPES
+
+
 def parse(address: str | None) -> tuple[str | None, str | None, str | None, str | None, list[str]]:
     """(number, street tokens joined by blanks, postcode, city next to the postcode, other names)."""
     number = street = post = hint = None
@@ -89,8 +103,12 @@ def parse(address: str | None) -> tuple[str | None, str | None, str | None, str
         part = " ".join(_SUB.sub(" ", raw).split()).strip(" .")
         if not part:
             continue
-        if post is None and (m := _POST.fullmatch(part)):
-            post = re.sub(r"\s", "", m["p"])
+        if number is None and (m := _LONG_FRONT.fullmatch(part)) and _ends_in_type(m[2]):
+            number, street = m[1], m[2]
+        elif number is None and (m := _LONG_BACK.fullmatch(part)) and _ends_in_type(m[1]):
+            street, number = m[1], m[2]
+        elif post is None and (m := _POST.fullmatch(part)):
+            post = re.sub(r"\s|-\d{4}$", "", m["p"])
             town = ((m["a"] or "") + " " + (m["b"] or "")).strip(" .")
             if town:
                 hint = town
@@ -172,6 +190,34 @@ def parsed(df: DataFrame, id_col: str = "id", address: str = "address") -> DataF
     return d.mapInArrow(scan, "id long, number string, street string, post string, hint string, names array<string>")
 
 
+def city_spellings(p: DataFrame, often: int = 20) -> DataFrame:
+    """(place, right): rare names that misspell a city by one letter, or by two from eight letters on.
+
+    Distinct names only are compared, by equal deletions of one letter; the city must occur ``often`` times as often.
+    """
+    names = p.select("hint", F.explode(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array_compact(F.array("hint")))).alias("place"))
+    seen = materialize(names.filter(F.length("place").between(5, 60)).groupBy("place").agg(F.count("*").alias("n"), F.count_if(F.col("place").eqNullSafe(F.col("hint"))).alias("as_city")), "place_names")
+    less = F.transform(F.expr("sequence(1, length(place))"), lambda i: F.concat(F.substring(F.col("place"), F.lit(1), i - 1), F.substring(F.col("place"), i + 1, F.length("place"))))
+    cut = lambda d: d.withColumn("v", F.explode(F.array_distinct(F.concat(F.array("place"), less))))
+    cities = cut(seen.filter(F.col("as_city") >= often)).select(F.col("place").alias("right"), F.col("n").alias("m"), "v")
+    met = cut(seen).join(cities, "v").filter((F.col("place") != F.col("right")) & (F.col("m") >= often * F.col("n")))
+    near = F.levenshtein("place", "right")
+    met = met.filter((near == 1) | (near == 2) & (F.length("place") >= 8)).withColumn("near", near)
+    return met.groupBy("place").agg(F.min_by("right", F.struct("near", -F.col("m"), "right")).alias("right"))
+
+
+def spelled(p: DataFrame) -> DataFrame:
+    """The parsed addresses with misspelt cities put right; the table of spellings is met on its names."""
+    wrong = materialize(city_spellings(p), "spellings")
+    if wrong.isEmpty():
+        return p
+    fix = wrong.select(F.col("place").alias("hint"), F.col("right").alias("_hint"))
+    p = p.join(fix, "hint", "left").withColumn("hint", F.coalesce("_hint", "hint")).drop("_hint")
+    each = p.select("id", F.explode("names").alias("place")).join(wrong, "place").groupBy("id").agg(F.collect_set("right").alias("_more"))
+    more = F.array_union(F.coalesce("names", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))
+    return p.join(each, "id", "left").withColumn("names", more).select("id", "number", "street", "post", "hint", "names")
+
+
 def with_city(p: DataFrame, sure: float = 0.9) -> DataFrame:
     """(id, number, street, city, zone). City by name, else by postcode, else by district, as counted over all rows.
 
@@ -189,28 +235,28 @@ def with_city(p: DataFrame, sure: float = 0.9) -> DataFrame:
     return found.select("id", "number", "street", "city", F.coalesce("post", "zone").alias("zone"))
 
 
-def candidate_pairs(classes: DataFrame, bands: int, q: int = 2) -> DataFrame:
+def candidate_pairs(classes: DataFrame, bands: int, rows: int = 2, q: int = 2) -> DataFrame:
     """(a, b, street_a, street_b) of classes that share a band; classes: (cls, city, number, street, zone).
 
-    Shingles are the tokens and q-grams of the street without type and compass point. A band is one MinHash value: within
-    a city and number streets are few, and spellings with two typing errors share but a quarter of their shingles.
-
+    Shingles are the tokens and q-grams of the street without type and compass point; a band is ``rows`` MinHash values.
     A street lies in one zone, so different spellings in two known zones are no candidates.
     """
     core = F.regexp_replace(F.regexp_replace("street", r"\b[td]:\S+", ""), r"\s+", " ")
     core = F.concat(F.lit("^"), F.when(F.trim(core) != "", F.trim(core)).otherwise(F.col("street")), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("core") - (q - 1))), lambda i: F.substring(F.col("core"), i, F.lit(q))))
-    c = classes.withColumn("core", core).withColumn("grams", F.array_union(grams, F.filter(F.split("core", "[ ^$]+"), lambda t: t != "")))
+    shingles = F.array_union(grams, F.filter(F.split("core", "[ ^$]+"), lambda t: t != ""))
+    c = classes.withColumn("core", core).select("cls", F.xxhash64("city", "number").alias("place"), F.transform(shingles, lambda g: F.xxhash64(g)).alias("h"))
 
     def least(seed: int):
-        return F.array_min(F.transform("grams", lambda g: F.xxhash64(F.lit(seed), g)))
+        return F.array_min(F.transform("h", lambda x: F.xxhash64(F.lit(seed), x)))
 
-    sig = F.array(*[F.struct(F.lit(s).alias("band"), least(s).alias("least")) for s in range(bands)])
-    c = c.select("cls", "street", "zone", "city", "number", F.explode(sig).alias("s"))
-    c = c.select("cls", "street", "zone", F.xxhash64("city", "number", "s.band", "s.least").alias("bucket"))
-    pair = c.select(F.col("cls").alias("a"), F.col("street").alias("street_a"), F.col("zone").alias("zone_a"), "bucket").join(c.select(F.col("cls").alias("b"), F.col("street").alias("street_b"), F.col("zone").alias("zone_b"), "bucket"), "bucket")
+    sig = F.array(*[F.xxhash64("place", F.lit(s), *[least(s * rows + r) for r in range(rows)]) for s in range(bands)])
+    c = c.select("cls", F.explode(sig).alias("bucket"))
+    met = c.withColumnRenamed("cls", "a").join(c.withColumnRenamed("cls", "b"), "bucket").filter("a < b").select("a", "b").distinct()
+    of = lambda s: classes.select(F.col("cls").alias(s), F.col("street").alias(f"street_{s}"), F.col("zone").alias(f"zone_{s}"))
+    met = met.join(of("a"), "a").join(of("b"), "b")
     near = F.coalesce(F.col("zone_a") == F.col("zone_b"), F.lit(True)) | (F.col("street_a") == F.col("street_b"))
-    return pair.filter(near & (F.col("a") < F.col("b"))).select("a", "b", "street_a", "street_b").distinct()
+    return met.filter(near).select("a", "b", "street_a", "street_b")
 
 
 def verified(pairs: DataFrame, most: float) -> DataFrame:
@@ -225,13 +271,19 @@ def verified(pairs: DataFrame, most: float) -> DataFrame:
     return pairs.select("a", "b", "street_a", "street_b").mapInArrow(scan, "a long, b long")
 
 
-def same_building(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 24, most: float = 0.58, block_rows: int = 2048) -> DataFrame:
-    """(id_a, id_b), the smaller first, of rows whose addresses denote the same building."""
-    rows = with_city(materialize(parsed(df, id_col, address), "addresses"))
+def _classed(df: DataFrame, id_col: str, address: str, bands: int, most: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): rows (id, cls, …) and the pairs (a, b) of classes that denote one building."""
+    read = materialize(parsed(df, id_col, address), "addresses")
+    rows = with_city(materialize(spelled(read), "spelled"))
     rows = materialize(rows.select("id", "city", "number", "street", "zone", F.xxhash64("city", "number", "street", "zone").alias("cls")), "located")
-    classes = rows.groupBy("cls", "city", "number", "street", "zone").agg(F.countDistinct("id").alias("n"))
-    size = classes.select("cls", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), "n")
-    met = verified(candidate_pairs(classes.drop("n"), bands), most)
+    classes = materialize(rows.groupBy("cls", "city", "number", "street", "zone").agg(F.countDistinct("id").alias("n")), "classes")
+    return rows, verified(candidate_pairs(classes, bands), most)
+
+
+def same_building(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 40, most: float = 0.58, block_rows: int = 2048) -> DataFrame:
+    """(id_a, id_b), the smaller first, of rows whose addresses denote the same building."""
+    rows, met = _classed(df, id_col, address, bands, most)
+    size = rows.groupBy("cls").agg(F.countDistinct("id").alias("n")).select("cls", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), "n")
     own = size.filter("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     both = met.union(own)
     cut = both.join(size.select(F.col("cls").alias("a"), F.col("blocks").alias("blocks_a")), "a").join(size.select(F.col("cls").alias("b"), F.col("blocks").alias("blocks_b")), "b")
@@ -242,3 +294,16 @@ def same_building(df: DataFrame, id_col: str = "id", address: str = "address", b
     out = cut.select("a", "b", "block_a", "block_b").join(left, ["a", "block_a"]).join(right, ["b", "block_b"])
     out = out.filter((F.col("a") != F.col("b")) | (F.col("i") < F.col("j"))).filter("i != j")
     return out.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+
+
+def buildings(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 40, most: float = 0.58) -> DataFrame:
+    """(id, building_id, spellings): one row per row with a readable address; the building is named by its smallest id.
+
+    Spellings that denote one building directly or through others are one building.
+    """
+    rows, met = _classed(df, id_col, address, bands, most)
+    group = components(met.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("cls"), "group_id")
+    named = rows.select("id", "cls").distinct().join(group, "cls", "left").withColumn("group_id", F.coalesce("group_id", "cls"))
+    named = materialize(named, "members")
+    first = named.groupBy("group_id").agg(F.min("id").alias("building_id"), F.countDistinct("cls").alias("spellings"))
+    return named.join(first, "group_id").select("id", "building_id", "spellings").distinct()

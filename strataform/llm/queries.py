@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.functions.jsons import instant_us
-from strataform.llm.addresses import same_building
+from strataform.llm.addresses import buildings, same_building
 from strataform.llm.contamination import leaked
 from strataform.llm.encoding_repair import repaired
 from strataform.llm.languages import Field, fit_on, label_code, labelled
@@ -93,6 +93,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return same_building(table(spark, d, "businesses", "id", "address"))
 
 
+def p6_buildings(spark: SparkSession, d: str) -> DataFrame:
+    """Every business with a readable address, and the building it stands in."""
+    return buildings(table(spark, d, "businesses", "id", "address"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "passage"))
 
@@ -101,7 +106,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repaired(table(spark, d, "documents", "doc_id", "text")).select(F.col("key").alias("doc_id"), "restored_sha256")
 
 
-QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_packed": p8_packed, "p8_separated": p8_separated, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p8_packed": p8_packed, "p8_separated": p8_separated, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_buildings": p6_buildings, "p9_found": p9_found, "p10_found": p10_found}
 
 _BLANK = "('', '-', '--', '---', '.', '?', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', 'not available', 'tbd')"
 

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from strataform.llm.addresses import alignment_cost, parse, same_building
+from strataform.llm.addresses import alignment_cost, buildings, candidate_pairs, parse, same_building
 
 COLS = "id long, address string, city string"
 
@@ -46,3 +48,45 @@ def test_pairs(spark):
 def test_hot_building(spark):
     rows = [(k, "7 Mill Lane, Riverton 100001" if k % 2 else "7 Mill Ln, Riverton", "x") for k in range(60)]
     assert same_building(spark.createDataFrame(rows, COLS), block_rows=7).count() == 60 * 59 // 2
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("10 Downing Street, London SW1A 2AA", ("10", "downing t:street", "sw1a2aa", "london")),
+        ("12345 Main Street, Reno 89501", ("12345", "main t:street", "89501", "reno")),
+        ("7 Main St, Reno 89501-1234", ("7", "main t:street", "89501", "reno")),
+        ("10115 Berlin, Invalidenstr 5", ("5", "invalidenstr", "10115", "berlin")),
+    ],
+)
+def test_other_postcodes(text, want):
+    assert parse(text)[:4] == want
+
+
+def test_misspelt_city_and_buildings(spark):
+    base = [(k, f"{k} Plain Road, Riverton 10000{k % 3 + 1}", "x") for k in range(100, 180)]
+    rows = base + [(1, "12 Mill Lane, Riverton 100001", "x"), (2, "12 Mill Ln, Rivreton", "x"), (3, "12 Mill Lane, Rivertonn", "x"), (4, "12 Mill Lane, Otherplace", "x"), (5, "12 Mil Lane, Riverton 100001", "x")]
+    df = spark.createDataFrame(rows, COLS)
+    assert {tuple(r) for r in same_building(df).collect()} == {(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5)}
+    got = {r.id: (r.building_id, r.spellings) for r in buildings(df).collect()}
+    assert {got[k][0] for k in (1, 2, 3, 5)} == {1} and 4 not in got and got[100] == (100, 1)
+    assert buildings(df.limit(0)).count() == 0
+
+
+def test_recall_of_bands_and_a_city_of_ten_thousand_streets(spark):
+    """One number, one city, ten thousand streets: spellings with typing errors meet, and few others do."""
+    rng = random.Random(8)
+    letters = "abcdefghiklmnoprstuvw"
+    streets = ["".join(rng.choices(letters, k=rng.randint(7, 12))) for _ in range(10_000)]
+
+    def typo(w):
+        k = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice(letters) + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+
+    pairs = [(s, typo(s)) for s in streets[:1000]]
+    rows = [(k, s + " t:road") for k, s in enumerate(streets)] + [(20_000 + k, b + " t:road") for k, (_, b) in enumerate(pairs)]
+    df = spark.createDataFrame([(c, "city", "7", s, None) for c, s in rows], "cls long, city string, number string, street string, zone string")
+    got = {(r.a, r.b) for r in candidate_pairs(df, 40).select("a", "b").collect()}
+    want = {(k, 20_000 + k) for k, (a, b) in enumerate(pairs) if a != b}
+    assert len(want & got) / len(want) > 0.97
+    assert len(got) < 0.03 * len(rows) ** 2 / 2  # one value a band made half of all pairs candidates
