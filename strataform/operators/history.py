@@ -95,6 +95,22 @@ def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out:
     return _edges(df, keys, hot_rows, chunk_rows, cold, hot)
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """Adds ``out``: the last ``value`` that isn't null up to and with each row of the key by ``order``, which starts with ``_at``."""
+
+    def cold(d: DataFrame) -> DataFrame:
+        return d.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+    def hot(d: DataFrame) -> DataFrame:
+        d = d.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        ends = d.groupBy(*keys, "_chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+        before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select(*_named(keys), F.col("_chunk").alias("_kc"), before.alias("_before"))
+        return d.join(ends, (d["_chunk"] == ends["_kc"]) & _same(d, ends, keys)).withColumn(out, F.coalesce(out, "_before")).drop("_before", "_chunk", "_kc", *[f"_k{i}" for i in range(len(keys))])
+
+    return _edges(df, keys, hot_rows, chunk_rows, cold, hot)
+
+
 def changes(stated: DataFrame, keys: list[str], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
     """The rows a satellite gets: (keys, _at, _hash, _first), only where the hash differs from the one before."""
     d = previous(stated.select(*keys, "_at", "_hash"), keys, ["_at"], "_hash", "_p", hot_rows, chunk_rows)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from strataform.plans import checks, problems, reference
+from strataform.plans import chains, checks, problems, reference
 
 
 def queries() -> dict:
-    return problems.QUERIES | reference.QUERIES | checks.QUERIES
+    return problems.QUERIES | reference.QUERIES | checks.QUERIES | chains.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.SQL | reference.SQL | checks.SQL
+    return problems.SQL | reference.SQL | checks.SQL | chains.SQL
