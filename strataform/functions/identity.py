@@ -37,7 +37,8 @@ def seal(*sets: Column) -> Column:
     return F.sha2(F.concat_ws(SEP, *[F.concat_ws(SEP, F.array_sort(s)) for s in sets]), 256)
 
 
-def row_number_hash(*cols: Column) -> Column:
-    """60 bits of a row's MD5, for order-free fingerprints."""
-    text = F.concat_ws(SEP, *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+def row_hashes(*cols: Column) -> tuple[Column, Column]:
+    """Two times 60 bits of a row's MD5, for order-free fingerprints."""
+    text = F.md5(F.concat_ws(SEP, *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]))
+    part = lambda at: F.conv(F.substring(text, at, 15), 16, 10).cast("decimal(20,0)")
+    return part(1), part(17)

@@ -79,9 +79,9 @@ def recovery_overlap(members: DataFrame, source_run: Column, child_run: Column,
     return hit.agg(F.count("*").alias("unique_union"), F.count("hit").alias("overlap"), (F.count("*") - F.count("hit")).alias("increment"))
 
 
-def identity_conflicts(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group_id, field, n) of groups that hold several values of one strong id."""
-    d = df.join(groups, "id").select("group_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), clean_text(F.col(c)).alias("v")) for c in IDS])).alias("x"))
+def identity_conflicts(df: DataFrame, groups: DataFrame, fields: tuple[str, ...] = IDS) -> DataFrame:
+    """(group_id, field, n) of groups that hold several values of a field."""
+    d = df.join(groups, "id").select("group_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), clean_text(F.col(c)).alias("v")) for c in fields])).alias("x"))
     return d.groupBy("group_id", "x.field").agg(F.countDistinct("x.v").alias("n")).filter("n > 1")
 
 

@@ -65,9 +65,10 @@ def freshness(facts: DataFrame, vocab: DataFrame, now_us: int) -> DataFrame:
     """Adds (domain, freshness_days, evaluated, is_stale) at a given instant.
 
     The reference is the last verification, else the start; strictly more than the window is stale. Facts that state
-    no value, and predicates without a window, aren't evaluated.
+    no value, and predicates without a window, aren't evaluated. A predicate the vocabulary lacks has the domain
+    ``unknown_predicate``.
     """
-    d = facts.join(vocab, "predicate")
+    d = facts.join(vocab, "predicate", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown_predicate")))
     ref = instant_us(F.coalesce("last_verified_at", "valid_from"))
     on = ~F.col("status").isin("unknown", "not_applicable") & F.col("freshness_days").isNotNull()
     late = F.lit(now_us) > ref + F.col("freshness_days").cast("long") * 86_400_000_000

@@ -45,10 +45,42 @@ def edges(lo: Column, hi: Column, n: Column) -> Column:
     return F.concat(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: lo + i * h), F.array(hi))
 
 
-def bin_of(x: Column, bounds: Column, n: Column) -> Column:
-    """The bin of a value: an inner edge belongs to the upper bin, the maximum to the last; null outside."""
-    k = F.size(F.filter(bounds, lambda e: e <= x)).cast("long") - 1
-    return F.when((x >= F.element_at(bounds, 1)) & (x <= F.element_at(bounds, -1)), F.least(k, n - 1))
+def _edge(lo: Column, hi: Column, n: Column, k: Column) -> Column:
+    """Edge number ``k`` of ``n`` equal bins, 0 to n; the last one exactly ``hi``."""
+    return F.when(k >= n, hi).otherwise(lo + k * ((hi - lo) / n))
+
+
+def bin_of(x: Column, lo: Column, hi: Column, n: Column) -> Column:
+    """The bin of a value: an inner edge belongs to the upper bin, the maximum to the last; null outside.
+
+    The bin follows from the offset; as its edge may round to the other side of the value, both neighbours are looked at.
+    """
+    k = F.greatest(F.lit(0), F.least(F.floor((x - lo) / ((hi - lo) / n)).cast("long"), n - 1))
+    k = F.when((k > 0) & (x < _edge(lo, hi, n, k)), k - 1).when((k + 1 < n) & (x >= _edge(lo, hi, n, k + 1)), k + 1).otherwise(k)
+    return F.when((x >= lo) & (x <= hi), k)
+
+
+def bin_boxes(grids: DataFrame) -> DataFrame:
+    """(run_id, row, column, min_lat, max_lat, min_lon, max_lon) of every bin of grids (run_id, box, rows, columns)."""
+    e = grids.select("run_id", "box", "rows", "columns", F.explode(F.expr("sequence(0L, rows - 1)")).alias("row"))
+    e = e.withColumn("column", F.explode(F.expr("sequence(0L, columns - 1)")))
+    lat = lambda k: _edge(F.col("box.min_lat"), F.col("box.max_lat"), F.col("rows"), k)
+    lon = lambda k: _edge(F.col("box.min_lon"), F.col("box.max_lon"), F.col("columns"), k)
+    r, c = F.col("row"), F.col("column")
+    return e.select("run_id", "row", "column", lat(r).alias("min_lat"), lat(r + 1).alias("max_lat"), lon(c).alias("min_lon"), lon(c + 1).alias("max_lon"))
+
+
+def origins(lo: Column, hi: Column, step: Column) -> Column:
+    """The centres below ``hi``, from half a step on, whole steps added one after the other."""
+    most = (F.ceil((hi - lo) / step) + 2).cast("int")
+    zero = F.struct((lo + step / 2).alias("at"), F.array().cast("array<double>").alias("all"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), zero, lambda a, _: F.struct((a["at"] + step).alias("at"), F.when(a["at"] < hi, F.concat(a["all"], F.array(a["at"]))).otherwise(a["all"]).alias("all")))
+    return walk["all"]
+
+
+def distinct_at(places: Column, digits: int = 6) -> Column:
+    """Whether no two of the places coincide once rounded."""
+    return F.size(F.array_distinct(F.transform(places, lambda p: F.round(p, digits)))) == F.size(places)
 
 
 def density_bins(points: DataFrame, grids: DataFrame, tier_a: int, tier_b: int) -> DataFrame:
@@ -56,10 +88,12 @@ def density_bins(points: DataFrame, grids: DataFrame, tier_a: int, tier_b: int)
 
     points: (run_id, latitude, longitude); grids: (run_id, box, rows, columns).
     """
-    g = grids.filter("rows > 0 and columns > 0").withColumn("lat_edges", edges(F.col("box.min_lat"), F.col("box.max_lat"), F.col("rows"))).withColumn("lon_edges", edges(F.col("box.min_lon"), F.col("box.max_lon"), F.col("columns")))
-    hit = points.join(g, "run_id").select("run_id", bin_of(F.col("latitude"), F.col("lat_edges"), F.col("rows")).alias("row"), bin_of(F.col("longitude"), F.col("lon_edges"), F.col("columns")).alias("column"))
+    g = grids.filter("rows > 0 and columns > 0")
+    row = bin_of(F.col("latitude"), F.col("box.min_lat"), F.col("box.max_lat"), F.col("rows"))
+    column = bin_of(F.col("longitude"), F.col("box.min_lon"), F.col("box.max_lon"), F.col("columns"))
+    hit = points.join(g, "run_id").select("run_id", row.alias("row"), column.alias("column"))
     n = hit.filter("row is not null and column is not null").groupBy("run_id", "row", "column").agg(F.count("*").alias("business_count"))
-    every = grids.filter("rows > 0 and columns > 0").select("run_id", F.explode(F.expr("sequence(0L, rows - 1)")).alias("row"), "columns")
+    every = g.select("run_id", F.explode(F.expr("sequence(0L, rows - 1)")).alias("row"), "columns")
     every = every.select("run_id", "row", F.explode(F.expr("sequence(0L, columns - 1)")).alias("column"))
     out = every.join(n, ["run_id", "row", "column"], "left").withColumn("business_count", F.coalesce("business_count", F.lit(0)))
     return out.withColumn("tier", F.when(F.col("business_count") >= tier_a, "A").when(F.col("business_count") >= tier_b, "B").otherwise("unselected"))

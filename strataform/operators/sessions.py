@@ -48,10 +48,10 @@ def newest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def latest_or_tie(df: DataFrame, key: str, at: str, ident: str) -> DataFrame:
-    """(key, latest, at, ties): the row with the greatest instant; ``ties`` above 1 means it isn't unique."""
-    top = df.groupBy(key).agg(F.max(at).alias("_top"))
-    hit = df.join(top, key).filter(F.col(at) == F.col("_top"))
-    return hit.groupBy(key).agg(F.min(ident).alias("latest"), F.max(at).alias(at), F.count("*").alias("ties"))
+    """(key, latest, at, ties): the row with the greatest instant; ``ties`` above 1 means it isn't unique. One read: rows
+    are counted per instant, then the greatest instant of each key is taken."""
+    n = df.filter(F.col(at).isNotNull()).groupBy(key, at).agg(F.min(ident).alias("latest"), F.count("*").alias("ties"))
+    return n.groupBy(key).agg(F.max(F.struct(at, "latest", "ties")).alias("m")).select(key, "m.latest", F.col(f"m.{at}").alias(at), "m.ties")
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -65,3 +65,16 @@ def status_moves(sessions: DataFrame, key: str, at: str, tie: str, status: str,
     d = previous(sessions.select(key, F.col(at).alias("_at"), tie, status), [key], ["_at", tie], status, "_p", hot_rows, chunk_rows)
     d = d.select(F.col("_p")["value"].alias("before"), F.col(status).alias("after"))
     return d.filter("before is not null and before <> after").groupBy("before", "after").agg(F.count("*").alias("n"))
+
+
+def backoff(attempt: Column, asked: Column, base: float, cap: float, most_asked: float) -> Column:
+    """Seconds to wait after an attempt: base doubled per attempt up to a cap, or the delay asked for (up to its own cap) if longer."""
+    return F.greatest(F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt - 1)), F.least(F.lit(most_asked), F.coalesce(asked, F.lit(0.0))))
+
+
+def latest_status_moves(rows: DataFrame, keys: list[str], status: str, allowed: tuple[tuple[str, str], ...], hot_rows: int = 1_000_000, chunk_rows: int = 200_000) -> DataFrame:
+    """(before, after, allowed, n): status changes along each key's history by (_at, id), judged by the moves allowed."""
+    d = previous(rows, keys, ["_at", "id"], status, "_p", hot_rows, chunk_rows).select(F.col("_p")["value"].alias("before"), F.col(status).alias("after"))
+    ok = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
+    d = d.filter("before is not null and before <> after").groupBy("before", "after").agg(F.count("*").alias("n"))
+    return d.select("before", "after", F.array_contains(ok, F.concat_ws(">", "before", "after")).cast("int").alias("allowed"), "n")

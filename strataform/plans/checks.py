@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.functions import identity, urls
+from strataform.functions import urls
 from strataform.functions.jsons import instant_us
 from strataform.functions.text import clean_text
 from strataform.operators import facts, graph, grid, quality, reviews
-from strataform.plans.reference import _CUR, _EV, _FACTS, _GRID_SQL, _WALK, DAY_US, NOW_US, _evidence, _facts, _grids, _redirects
+from strataform.plans.reference import _CUR, _EV, _FACTS, _GRID_SQL, _WALK, DAY_US, NOW_US, _evidence, _facts, _grids, _redirects, _wide_sql
 from strataform.sources.tables import table
 
 QUERIES: dict = {}
@@ -82,15 +82,15 @@ def json_strict(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "businesses", "id", "raw_json").select("id", F.try_parse_json("raw_json").isNotNull().cast("int").alias("ok"))
 
 
-@query(_GRID_SQL + """, q as (select run_id, nrow, a, b, (b - a) / nrow h from g where nrow > 0 and ncol > 0) select run_id, i::bigint as "row", round(a + i * h, 6) min_lat, round(case when i + 1 = nrow then b else a + (i + 1) * h end, 6) max_lat from q, lateral (select unnest(range(0, nrow)) i)""")
+@query(_GRID_SQL + """, q as (select run_id, nrow, ncol, a, b, c, d, (b - a) / nrow h, (d - c) / ncol w from g where nrow > 0 and ncol > 0)
+select run_id, i::bigint as "row", k::bigint as "column", round(a + i * h, 6) min_lat, round(case when i + 1 = nrow then b else a + (i + 1) * h end, 6) max_lat, round(c + k * w, 6) min_lon, round(case when k + 1 = ncol then d else c + (k + 1) * w end, 6) max_lon
+from q, lateral (select unnest(range(0, nrow)) i) x, lateral (select unnest(range(0, ncol)) k) y""")
 def bin_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """South and north edge of every row of bins."""
+    """The box of every bin, south to north and west to east; the last edges are exactly the box's."""
     g = _grids(spark, d)
     sized = grid.grid_estimate(g).select("run_id", "rows", "columns").filter("rows > 0 and columns > 0").join(g.select("run_id", "box"), "run_id")
-    e = sized.select("run_id", "rows", grid.edges(F.col("box.min_lat"), F.col("box.max_lat"), F.col("rows")).alias("e"))
-    r = e.select("run_id", "e", F.explode(F.expr("sequence(0L, rows - 1)")).alias("row"))
-    at = lambda k: F.round(F.element_at("e", k.cast("int")), 6)
-    return r.select("run_id", "row", at(F.col("row") + 1).alias("min_lat"), at(F.col("row") + 2).alias("max_lat"))
+    b = grid.bin_boxes(sized)
+    return b.select("run_id", "row", "column", *[F.round(c, 6).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
 
 
 @query(f"""with recursive {_WALK}, {_CUR}, o as (select root, count(distinct review_count) amounts, max(review_count)::varchar amount, count(distinct last_run_id) sources, max(epoch_us(last_seen_at::timestamptz)) seen from rs join businesses b on b.id = rs.id where review_count is not null group by 1),
@@ -158,26 +158,20 @@ def counter_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "runs").selectExpr("id", f"{_UNEXPLAINED} as unexplained", "cast(unique_seen <= accepted_records and new_businesses <= unique_seen as int) as consistent")
 
 
-_ROW = "concat_ws(chr(31), coalesce(id, chr(0)), coalesce(status, chr(0)), coalesce(value_json, chr(0)))"
-_DIGEST = f"(sum(('0x' || substr(md5({_ROW}), 1, 15))::bigint::hugeint) % 1000000007)::bigint"
+_STATED = ("id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from", "last_verified_at", "reconciled_at")
 
 
-def _digest():
-    h = identity.row_number_hash(F.col("id"), F.col("status"), F.col("value_json"))
-    return (F.sum(h) % F.lit(1_000_000_007).cast("decimal(38,0)")).cast("long")
-
-
-@query(f"select reconciliation_version snapshot, count(*) row_count, {_DIGEST} digest from facts group by 1")
+@query(f"select reconciliation_version snapshot, count(*) row_count, {_wide_sql(*_STATED)} digest from facts group by 1")
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """Row counts and order-free digests of snapshots of one table, to be compared with each other."""
-    f = table(spark, d, "facts", "reconciliation_version", "id", "status", "value_json")
-    return f.groupBy(F.col("reconciliation_version").alias("snapshot")).agg(F.count("*").alias("row_count"), _digest().alias("digest"))
+    f = table(spark, d, "facts", "reconciliation_version", *_STATED)
+    return f.groupBy(F.col("reconciliation_version").alias("snapshot")).agg(F.count("*").alias("row_count"), quality.wide_digest(*_STATED).alias("digest"))
 
 
-@query(f"with {_CUR} select subject_id, count(*) facts, {_DIGEST} signature from c group by 1")
+@query(f"with {_CUR} select subject_id, count(*) facts, {_wide_sql(*_STATED)} signature from c group by 1")
 def state_signature(spark: SparkSession, d: str) -> DataFrame:
     """A digest of each subject's open facts; equal digests mean nothing changed since."""
-    return facts.current(_facts(spark, d)).groupBy("subject_id").agg(F.count("*").alias("facts"), _digest().alias("signature"))
+    return facts.current(_facts(spark, d)).groupBy("subject_id").agg(F.count("*").alias("facts"), quality.wide_digest(*_STATED).alias("signature"))
 
 
 @query(f"with recursive {_WALK}, g as (select root, count(*) n from rs group by 1) select rs.id, case when n = 1 then 'sole' when rs.id = rs.root then 'current' else 'merged_alias' end relation from rs join g on g.root = rs.root")

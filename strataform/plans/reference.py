@@ -59,19 +59,10 @@ def ingest_classify_counts(spark: SparkSession, d: str) -> DataFrame:
 _ORDER = "last_seen_at || '|' || last_run_id || '|' || lpad(id::varchar, 18, '0')"
 
 
-@query(f"""
-select {_KEY_SQL} as identity, min(id) primary_id, count(*) members, min(first_seen_at) first_seen_at, max(last_seen_at) last_seen_at, arg_max(last_run_id, {_ORDER}) last_run_id,
-{", ".join(f"arg_max({c}, {_ORDER}) filter ({c} is not null) {c}" for c in ("title", "category", "address", "phone", "website", "status"))} from businesses group by 1""")
-def canonical_survivorship(spark: SparkSession, d: str) -> DataFrame:
-    b = canonical.with_identity(table(spark, d, "businesses", *_BIZ))
-    return canonical.survivorship(b, "identity", F.col("last_seen_at"), mutable=("title", "category", "address", "phone", "website", "status"))
-
-
 @query(f"""
 select {_KEY_SQL} as identity, min(id) primary_id, count(*) members, min(first_seen_at) first_seen_at, max(last_seen_at) last_seen_at, arg_max(last_run_id, {_ORDER}) last_run_id,
 {", ".join(f"arg_max({c}, {_ORDER}) filter ({c} is not null) {c}" for c in canonical.MUTABLE)} from businesses group by 1""")
-def canonical_survivorship_all(spark: SparkSession, d: str) -> DataFrame:
-    """``canonical_survivorship`` with every mutable field, coordinates and review figures included."""
+def canonical_survivorship(spark: SparkSession, d: str) -> DataFrame:
     b = canonical.with_identity(table(spark, d, "businesses", *_BIZ, "review_rating", "review_count"))
     return canonical.survivorship(b, "identity", F.col("last_seen_at"))
 
@@ -179,24 +170,15 @@ def tier_summary(spark: SparkSession, d: str) -> DataFrame:
     return grid.tier_summary(_bins(spark, d))
 
 
-_FIELDS = {"title": ("be", "business.name.trading", 1), "category": ("be", "business.category.primary", 1), "website": ("be", "business.website.official", 1), "address": ("loc", "location.address", 1), "phone": ("loc", "location.phone", 0), "review_rating": ("loc", "reputation.rating", 1), "review_count": ("loc", "reputation.review_count", 1), "status": ("loc", "location.operating_status", 1)}
+_SOME_FIELDS = {"title": ("be", "business.name.trading", 1), "category": ("be", "business.category.primary", 1), "website": ("be", "business.website.official", 1), "address": ("loc", "location.address", 1), "phone": ("loc", "location.phone", 0), "review_rating": ("loc", "reputation.rating", 1), "review_count": ("loc", "reputation.review_count", 1), "status": ("loc", "location.operating_status", 1)}
+_FIELDS = _SOME_FIELDS | {"latitude": ("loc", "location.latitude", 1), "longitude": ("loc", "location.longitude", 1)}
 
 
+# below 0.001 and above 10 000 000 the two engines write a double differently; the operator's text is Spark's
 @query(" union all ".join(f"select id business_id, '{k}_' || substr(sha256(id::varchar), 1, 32) subject_id, '{p}' predicate, {"'__single__'" if one else f"sha256({c}::varchar)"} fact_slot, {c}::varchar as value, sha256({c}::varchar) value_hash from businesses where {c} is not null" for c, (k, p, one) in _FIELDS.items()))
 def facts_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "businesses", "id", "title", "category", "website", "address", "latitude", "longitude", "phone", "review_rating", "review_count", "status")
-    # coordinates print differently in SQL engines; all else is compared; with them: facts_unpivot_all
-    return facts.unpivot_fields(b).filter(~F.col("predicate").isin("location.latitude", "location.longitude"))
-
-
-_ALL_FIELDS = _FIELDS | {"latitude": ("loc", "location.latitude", 1), "longitude": ("loc", "location.longitude", 1)}
-
-
-# below 0.001 and above 10 000 000 the two engines write a double differently; the operator's text is Spark's
-@query(" union all ".join(f"select id business_id, '{k}_' || substr(sha256(id::varchar), 1, 32) subject_id, '{p}' predicate, {"'__single__'" if one else f"sha256({c}::varchar)"} fact_slot, {c}::varchar as value, sha256({c}::varchar) value_hash from businesses where {c} is not null" for c, (k, p, one) in _ALL_FIELDS.items()))
-def facts_unpivot_all(spark: SparkSession, d: str) -> DataFrame:
     """The facts of all ten fields, coordinates included."""
-    return facts.unpivot_fields(table(spark, d, "businesses", "id", *_ALL_FIELDS))
+    return facts.unpivot_fields(table(spark, d, "businesses", "id", *_FIELDS))
 
 
 _F = ("id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from", "last_verified_at", "reconciled_at")
@@ -250,7 +232,7 @@ def corroboration(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VOC = "voc(predicate, domain, freshness_days) as (values " + ", ".join(f"('{p}', '{dm}', {f if f is not None else 'null'})" for _, _, p, dm, _, f in facts.PREDICATES) + ")"
-_FRESH = f"{_CUR}, {_VOC}, w as (select c.*, domain, case when status not in ('unknown', 'not_applicable') and freshness_days is not null then 1 else 0 end evaluated, case when status = 'stale' or (status not in ('unknown', 'not_applicable') and freshness_days is not null and {NOW_US} > epoch_us(coalesce(last_verified_at, valid_from)::timestamptz) + freshness_days * {DAY_US}) then 1 else 0 end is_stale from c join voc using (predicate))"
+_FRESH = f"{_CUR}, {_VOC}, w as (select c.*, coalesce(domain, 'unknown_predicate') as domain, case when status not in ('unknown', 'not_applicable') and freshness_days is not null then 1 else 0 end evaluated, case when status = 'stale' or (status not in ('unknown', 'not_applicable') and freshness_days is not null and {NOW_US} > epoch_us(coalesce(last_verified_at, valid_from)::timestamptz) + freshness_days * {DAY_US}) then 1 else 0 end is_stale from c left join voc using (predicate))"
 
 
 @query(f"with {_FRESH} select id, domain, evaluated, is_stale from w")
@@ -337,7 +319,9 @@ def left_chain_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MIN = ", ".join(f"min(id) over (partition by {_SID.format(c)}) m_{c}, {_SID.format(c)} k_{c}" for c in ("place_id", "cid", "data_id"))
-_EDGES = f"ed as (select id, case when t < id then t end target from (select id, least(case when k_place_id is not null then m_place_id end, case when k_cid is not null then m_cid end, case when k_data_id is not null then m_data_id end) t from (select id, {_MIN} from businesses)))"
+_GROUPS = f"""gk as (select id, unnest(['p' || place_id, 'c' || cid, 'd' || data_id]) k, unnest([place_id, cid, data_id]) v from businesses), gu as (select id, k from gk where lower(trim(v)) not in {_BLANK} and lower(trim(v)) not in ('0', '0x0', '0x0:0x0', '-1')),
+gp as (select id a, id b from businesses union select gp.a, y.id from gp join gu x on x.id = gp.b join gu y on y.k = x.k), gr as (select a id, min(b) root from gp group by 1)"""
+_EDGES = f"{_GROUPS}, ed as (select id, case when t < id then t when root < id then root end target from (select id, least(case when k_place_id is not null then m_place_id end, case when k_cid is not null then m_cid end, case when k_data_id is not null then m_data_id end) t from (select id, {_MIN} from businesses)) join gr using (id))"
 _WALK = f"{_EDGES}, wk as (select id, id pos, 0 steps from ed union all select wk.id, ed.target, steps + 1 from wk join ed on ed.id = wk.pos where ed.target is not null), rs as (select wk.id, wk.pos root, steps from wk join ed on ed.id = wk.pos where ed.target is null)"
 
 
@@ -406,9 +390,19 @@ def relation_diff(spark: SparkSession, d: str) -> DataFrame:
     return quality.difference(f, f.dropDuplicates(["id"]))
 
 
-@query("""select count(*) row_count, (sum(('0x' || substr(md5(concat_ws(chr(31), id::varchar, coalesce(place_id, chr(0)), coalesce(title, chr(0)), coalesce(address, chr(0)), coalesce(last_run_id, chr(0)))), 1, 15))::bigint::hugeint) % 1000000007)::bigint digest from businesses""")
+def _wide_sql(*cols: str) -> str:
+    row = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}::varchar, chr(0))" for c in cols) + "))"
+    part = lambda at: f"sum(('0x' || substr({row}, {at}, 15))::bigint::hugeint)::varchar"
+    return f"{part(1)} || '-' || {part(17)}"
+
+
+_WHOLE = ("id", "canonical_key", "place_id", "cid", "data_id", "title", "category", "address", "phone", "website", "review_count", "status", "first_seen_at", "last_seen_at", "first_run_id", "last_run_id", "raw_json")
+
+
+@query(f"select count(*) row_count, {_wide_sql(*_WHOLE)} digest from businesses")
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return quality.fingerprint(table(spark, d, "businesses", "id", "place_id", "title", "address", "last_run_id"), "id", "place_id", "title", "address", "last_run_id")
+    """Of all columns but the three doubles, whose texts differ between engines; ``raw_json`` holds their values too."""
+    return quality.fingerprint(table(spark, d, "businesses", *_WHOLE), *_WHOLE)
 
 
 @query("select l_orderkey, sha256(concat_ws(chr(31), string_agg(s, chr(31) order by s), string_agg(p, chr(31) order by p))) seal from (select l_orderkey, l_suppkey::varchar || '-' || l_linenumber s, l_partkey::varchar || '-' || l_linenumber p from lineitem) group by 1")
@@ -500,7 +494,8 @@ def phone_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "businesses", "id", "phone").filter("phone is not null").select("id", urls.normalize_phone(F.col("phone")).alias("phone"))
 
 
-@query("""select id, case when regexp_matches(website, '^https?://') then 'website' end channel_type, case when regexp_matches(website, '^https?://') then lower(website) end identifier from businesses where website is not null union all
+# websites of the data are plain links to sites of their own, which are no channel
+@query("""select id, null channel_type, null identifier from businesses where website is not null and not regexp_matches(lower(website), 'whatsapp|wa\\.me|instagram|facebook|fb\\.com|linkedin|x\\.com|twitter|tiktok|youtu|booksy|calendly|opentable|resy|fresha|mindbody|doordash|ubereats|talabat|hungerstation|jahez|deliveroo') union all
 select id, case when p is not null then 'phone' end, p from (select id, nullif(nullif(regexp_replace(regexp_replace(phone, '[^0-9+]', '', 'g'), '^00', '+'), ''), '+') p from businesses where phone is not null)""")
 def channel_classify(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "businesses", "id", "website", "phone")
@@ -586,12 +581,19 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
     return b.select("id", no_placeholder(F.col("title")).alias("title"), no_placeholder(F.col("category")).alias("category"), F.coalesce(clean_text(F.col("phone")).try_cast("long"), F.lit(-1)).alias("phone_number"))
 
 
-@query("select n::bigint attempt, least(60, 0.5 * 2 ** (n - 1))::double wait_s from range(1, 11) t(n)")
+@query("""select event_id, greatest(least(60, 0.5 * 2 ** (event_id % 9)), case when event_type = 'error' then coalesce(least(120, (props::json->>'k')::bigint), 0) else 0 end)::double wait_s from events""")
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 11).select(F.col("id").alias("attempt"), F.least(F.lit(60.0), F.lit(0.5) * F.pow(F.lit(2.0), F.col("id") - 1)).alias("wait_s"))
+    """Doubling waits up to a cap by attempt; a delay that was asked for counts where it is longer."""
+    e = table(spark, d, "events", "event_id", "event_type", "props")
+    asked = F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k").try_cast("double")).otherwise(0.0)
+    return e.select("event_id", sessions.backoff(F.col("event_id") % 9 + 1, asked, 0.5, 60.0, 120.0).alias("wait_s"))
+
+
+_ONE = ("place_id", "cid", "data_id", "phone", "website")
 
 
-@query(f"with recursive {_WALK}, g as (select root, count(distinct k) n, 'place_id' as field from rs join (select id, nullif(trim(place_id), '') k from businesses) b on b.id = rs.id group by 1 having count(distinct k) > 1) select root group_id, field, n from g")
+@query(f"with recursive {_WALK} " + " union all ".join(f"select root group_id, '{c}' as field, count(distinct nullif(trim({c}), '')) n from rs join businesses b on b.id = rs.id group by 1 having count(distinct nullif(trim({c}), '')) > 1" for c in _ONE))
 def identity_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Fields a place should have one value of, in groups that hold several: strong ids, phone, website."""
     g = graph.resolve(_redirects(spark, d)).filter("state = 'resolved'").select("id", F.col("root").alias("group_id"))
-    return canonical.identity_conflicts(table(spark, d, "businesses", "id", "place_id", "cid", "data_id"), g)
+    return canonical.identity_conflicts(table(spark, d, "businesses", "id", *_ONE), g, _ONE)

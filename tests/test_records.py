@@ -66,7 +66,7 @@ def test_grid_counts_by_walking(spark, box):
 def test_bins_own_their_lower_edge(spark):
     d = spark.createDataFrame([(0.0,), (0.02,), (0.04,), (0.019999,), (0.05,), (None,)], "x double")
     e = edges(F.lit(0.0), F.lit(0.04), F.lit(2).cast("long"))
-    assert [r.b for r in d.select(bin_of(F.col("x"), e, F.lit(2).cast("long")).alias("b")).collect()] == [0, 1, 1, 0, None, None]
+    assert [r.b for r in d.select(bin_of(F.col("x"), F.lit(0.0), F.lit(0.04), F.lit(2).cast("long")).alias("b")).collect()] == [0, 1, 1, 0, None, None]
 
 
 def test_redirects(spark):
