@@ -31,6 +31,18 @@ def normalise(raw: Column) -> Column:
     )
 
 
+def nested(raw: Column) -> Column:
+    """The review as ``normalise`` gives it, with the owner's response as an object of its own and a check of the rating."""
+    j, n = F.from_json(raw, RAW), normalise(raw)
+    response = F.struct(n["reply_text"].alias("text"), n["reply_language"].alias("language"), micros(j["reply_posted_at_unix_micros"]).alias("posted_us"))
+    fits = F.coalesce(n["rating"] <= F.coalesce(n["rating_scale"].cast("double"), F.lit(5.0)), F.lit(True))
+    return F.struct(
+        n["review_id"].alias("review_id"), n["source"].alias("source"), n["rating"].alias("rating"), n["rating_scale"].alias("rating_scale"), n["text_original"].alias("text_original"), n["text_translated"].alias("text_translated"),
+        n["language"].alias("language"), n["translated_language"].alias("translated_language"), clean_text(j["published_at"]).alias("published_at"), n["updated_us"].alias("updated_us"), n["source_when"].alias("source_when"),
+        F.when(response["text"].isNotNull() | response["language"].isNotNull(), response).alias("owner_response"), fits.alias("rating_in_scale"),
+    )
+
+
 def collapse(parsed: DataFrame) -> DataFrame:
     """One row per (identity_key, raw_sha256): all its source paths, sorted; variants of one review stay apart.
 
