@@ -10,7 +10,7 @@ from strataform.functions.jsons import instant_us
 from strataform.functions.text import clean_text
 from strataform.operators import facts, graph, grid, quality, reviews
 from strataform.plans.reference import _CUR, _EV, _FACTS, _GRID_SQL, _WALK, DAY_US, NOW_US, _evidence, _facts, _grids, _redirects, _wide_sql
-from strataform.sources.tables import table
+from strataform.sources.tables import columns, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,10 +71,10 @@ def run_issues(spark: SparkSession, d: str) -> DataFrame:
 _TABLES = ("runs", "sources", "areas", "businesses", "maps_business_location_links", "facts", "evidence_items", "parsed_reviews", "documents", "eval_items", "packing_targets")
 
 
-@query(f"select table_name, column_name from information_schema.columns where table_name in ({', '.join(repr(t) for t in _TABLES)})")
+@query(f"""select table_name, column_name, ordinal_position as position, case data_type when 'VARCHAR' then 'string' when 'BIGINT' then 'bigint' when 'DOUBLE' then 'double' when 'VARCHAR[]' then 'array<string>' when 'TIMESTAMP' then 'timestamp_ntz' else data_type end data_type from information_schema.columns where table_name in ({', '.join(repr(t) for t in _TABLES)})""")
 def schema_check(spark: SparkSession, d: str) -> DataFrame:
-    """Tables and columns as data, from the files' own schemas; reads no rows."""
-    return spark.createDataFrame([(t, c) for t in _TABLES for c in table(spark, d, t).columns], "table_name string, column_name string")
+    """Tables, columns, their positions and types as data."""
+    return columns(spark, d, _TABLES)
 
 
 @query("select id, json_valid(raw_json)::int ok from businesses")

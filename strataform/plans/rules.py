@@ -10,6 +10,8 @@ from strataform.functions.jsons import instant_us
 from strataform.functions.text import clean_text
 from strataform.operators import canonical, facts, grid, quality, reviews
 from strataform.plans.reference import _BINS_SQL, _CUR, _EV, _GRID_SQL, DAY_US, NOW_US, SQL as _REF, _bins, _evidence, _facts, _grids, domain_states
+from strataform.session import scratch
+from strataform.sources import files
 from strataform.sources.tables import table
 
 QUERIES: dict = {}
@@ -304,3 +306,45 @@ def run_history(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("area_name")
     failed = F.sum((F.col("status") != "complete").cast("long")).over(w.orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, -1))
     return r.select("id", F.row_number().over(w.orderBy(F.col("started_at").desc(), "id")).alias("recent"), F.coalesce(failed, F.lit(0)).alias("failed_before"))
+
+
+@query("select (json_valid(raw_json) and coalesce(json_type(case when json_valid(raw_json) then raw_json end), '') = 'OBJECT')::int ok, count(*) n, count(case when json_valid(raw_json) then raw_json::json->>'title' end) titled from businesses where trim(raw_json) <> '' group by 1")
+def json_lines_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records written as JSON lines and read back: lines that hold one object, and those that don't."""
+    path = scratch(spark, "lines")
+    table(spark, d, "businesses", "raw_json").write.text(path)
+    lines = files.json_lines(spark, path, "title string")
+    return lines.groupBy("ok").agg(F.count("*").alias("n"), F.count("record.title").alias("titled"))
+
+
+@query("select q query, (row_number() over (order by q) - 1)::int as position from (select distinct trim(unnest(from_json(queries_json, '[\"varchar\"]'))) q from runs)")
+def query_list_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All queries of all runs as a query list file: sorted, with comments and blanks between, and read back."""
+    path = scratch(spark, "queries")
+    q = table(spark, d, "runs", "queries_json").select(F.explode(F.from_json("queries_json", "array<string>")).alias("q"))
+    text = q.agg(F.concat(F.lit("# all\n\n"), F.array_join(F.array_sort(F.collect_set(F.trim("q"))), "\n\n# next\n  "), F.lit("\n")).alias("value"))
+    text.write.option("lineSep", "\n").text(path)
+    return files.query_list(spark, path).select("query", F.col("position").cast("int").alias("position"))
+
+
+@query("select count(*) n, count(distinct id) ids, min(id) first_id, max(id) last_id from businesses")
+def backup_copy(spark: SparkSession, d: str) -> DataFrame:
+    """A copy of a table, read back."""
+    path = scratch(spark, "backup")
+    files.backup(table(spark, d, "businesses", "id", "title"), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query("select '{\"cell_km\":' || cell_km || ',\"depth\":' || depth || ',\"id\":\"' || id || '\"' || case when error is null then '' else '' end || '}' json from runs")
+def rows_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as the JSON a command line prints: keys sorted."""
+    return files.as_json(table(spark, d, "runs", "id", "depth", "cell_km"))
+
+
+@query("select count(*) completed, count(distinct id) ids from runs where status = 'complete'")
+def resume_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The complete runs as a resume file, and read back."""
+    path = scratch(spark, "resume") + ".json"
+    done = [r.id for r in table(spark, d, "runs", "id", "status").filter("status = 'complete'").orderBy("id").collect()]
+    files.write_plan({"version": 1, "completed_inputs": done}, path)
+    return files.completed_inputs(spark, path).agg(F.count("*").alias("completed"), F.countDistinct("input_id").alias("ids"))

@@ -73,6 +73,11 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _models: dict[str, Any] = {}
 
 

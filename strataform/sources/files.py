@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataform.sources import shared
+
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """(raw, ok[, record]) per non-blank line; ``ok`` is 0 for lines that aren't one JSON object.
@@ -30,11 +31,11 @@ def strict_json_lines(spark: SparkSession, path: str, schema: str | None = None)
 
 def area(path: str) -> dict:
     """Name and box of an area file; the name defaults to the file's stem, the box is checked."""
-    o = json.loads(Path(path).read_text("utf-8"))
+    o = json.loads(shared.read(path).decode())
     b = {k: float(o["bbox"][k]) for k in ("min_lat", "min_lon", "max_lat", "max_lon")}
     if not (-90 <= b["min_lat"] < b["max_lat"] <= 90 and -180 <= b["min_lon"] < b["max_lon"] <= 180):
         raise ValueError(f"not a box: {b}")
-    return {"name": str(o.get("name") or Path(path).stem), "bbox": b}
+    return {"name": str(o.get("name") or PurePosixPath(path).stem), "bbox": b}
 
 
 def query_list(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +48,9 @@ def query_list(spark: SparkSession, path: str) -> DataFrame:
 
 def completed_inputs(spark: SparkSession, path: str) -> DataFrame:
     """Distinct ids of a resume file (version 1); repeated or empty ids are an error; empty where the file is absent."""
-    if not os.path.exists(path):
+    if not shared.exists(path):
         return spark.createDataFrame([], "input_id string")
-    o = json.loads(Path(path).read_text("utf-8"))
+    o = json.loads(shared.read(path).decode())
     ids = o.get("completed_inputs")
     if o.get("version") != 1 or not isinstance(ids, list) or len(set(ids)) != len(ids) or not all(isinstance(i, str) and i for i in ids):
         raise ValueError("not a resume file")
@@ -83,7 +84,7 @@ def strict_json(text: str):
 
 def read_plan(path: str, sha256: str) -> dict:
     """A plan whose bytes have the digest given; anything else is an error."""
-    data = Path(path).read_bytes()
+    data = shared.read(path)
     if hashlib.sha256(data).hexdigest() != sha256:
         raise ValueError("the plan's bytes have another digest")
     o = strict_json(data.decode())
@@ -95,16 +96,38 @@ def read_plan(path: str, sha256: str) -> dict:
 def write_plan(o: dict, path: str) -> str:
     """Writes a document to a new file and gives its SHA-256; an existing file is an error."""
     data = (canonical(o) + "\n").encode()
-    with open(path, "xb") as f:
-        f.write(data)
+    shared.write_new(path, data)
     return hashlib.sha256(data).hexdigest()
 
 
 def content_addressed(data: bytes, root: str, suffix: str = ".bin") -> str:
     """Writes bytes under their digest, atomically; the same content is written once."""
-    path = Path(root) / f"{hashlib.sha256(data).hexdigest()}{suffix}"
-    if not path.exists():
-        tmp = path.with_suffix(f".{os.getpid()}.tmp")
-        tmp.write_bytes(data)
-        os.replace(tmp, path)
-    return str(path)
+    path = f"{root}/{hashlib.sha256(data).hexdigest()}{suffix}"
+    if not shared.exists(path):
+        shared.write_new(path, data)
+    return path
+
+
+def write_queries(queries: list[str], path: str) -> str:
+    """A snapshot of a query list, a line each, in a new file; gives its SHA-256. A query may not hold a line break."""
+    if not queries or any(not q.strip() or "\n" in q or "\r" in q for q in queries):
+        raise ValueError("queries are texts of one line")
+    data = ("\n".join(queries) + "\n").encode()
+    shared.write_new(path, data)
+    return hashlib.sha256(data).hexdigest()
+
+
+def write_report(make, path: str) -> dict:
+    """Writes what ``make`` reports, or that it failed and why, as one JSON document in a new file; a failure is raised again."""
+    try:
+        report = {"ok": True, **make()}
+    except Exception as x:
+        shared.write_new(path, (canonical({"ok": False, "error": type(x).__name__, "message": str(x)}) + "\n").encode())
+        raise
+    shared.write_new(path, (canonical(report) + "\n").encode())
+    return report
+
+
+def as_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """One JSON text per row, its keys sorted, as command lines print it; null fields are left out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias(out))

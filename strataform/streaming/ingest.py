@@ -7,12 +7,11 @@ arrives years late changes first sightings and never newer values. ``compact`` f
 
 from __future__ import annotations
 
-import shutil
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataform.sources import shared
+
 
 def reduce_batch(df: DataFrame, key: str, at: str) -> DataFrame:
     """One row per key: first and last instant, number of records and the latest record (ties by its fields)."""
@@ -24,16 +23,16 @@ def merge(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n"), F.max("latest").alias("latest"))
 
 
-def _parts(root: str) -> list[tuple[int, Path]]:
-    """Committed parts: the newest compacted one and the batches after it."""
-    done = [p for p in Path(root).glob("*-*") if (p / "_SUCCESS").exists()]
-    base = max((int(p.name.split("-")[1]) for p in done if p.name.startswith("upto-")), default=-1)
-    return sorted((int(p.name.split("-")[1]), p) for p in done if p.name == f"upto-{base}" or p.name.startswith("batch-") and int(p.name.split("-")[1]) > base)
+def _parts(root: str) -> list[tuple[int, str]]:
+    """Committed parts: the newest compacted one and the batches after it; on whatever file system the root lies."""
+    done = [(n.split("-")[0], int(n.split("-")[1])) for n in shared.names(root) if "-" in n and shared.exists(f"{root}/{n}/_SUCCESS")]
+    base = max((k for kind, k in done if kind == "upto"), default=-1)
+    return sorted((k, f"{root}/{kind}-{k}") for kind, k in done if (kind == "upto" and k == base) or (kind == "batch" and k > base))
 
 
 def latest_table(spark: SparkSession, root: str, key: str) -> DataFrame | None:
     parts = _parts(root)
-    return merge(spark.read.parquet(*[str(p) for _, p in parts]), key) if parts else None
+    return merge(spark.read.parquet(*[p for _, p in parts]), key) if parts else None
 
 
 def compact(spark: SparkSession, root: str, key: str) -> None:
@@ -42,7 +41,7 @@ def compact(spark: SparkSession, root: str, key: str) -> None:
     if len(parts) > 1:
         latest_table(spark, root, key).write.mode("overwrite").parquet(f"{root}/upto-{parts[-1][0]}")
         for _, p in parts:
-            shutil.rmtree(p)
+            shared.delete(p)
 
 
 def upsert_stream(stream: DataFrame, root: str, checkpoint: str, key: str, at: str):

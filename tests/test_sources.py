@@ -76,3 +76,30 @@ def test_windows_close_behind_the_watermark(spark, data, tmp_path):
     q.awaitTermination(120)
     n = spark.sql("select sum(n) from closed").first()[0]
     assert 0 < n <= e.count()
+
+
+def test_snapshots_reports_and_tables(spark, tmp_path):
+    from strataform.sources import tables
+
+    p = str(tmp_path / "queries.txt")
+    files.write_queries(["cafe", "hotel"], p)
+    assert open(p).read() == "cafe\nhotel\n" and [r.query for r in files.query_list(spark, p).orderBy("position").collect()] == ["cafe", "hotel"]
+    for bad in ([], ["a\nb"], [" "]):
+        with pytest.raises(ValueError):
+            files.write_queries(bad, str(tmp_path / "bad.txt"))
+    assert files.write_report(lambda: {"checks": 3}, str(tmp_path / "report.json")) == {"ok": True, "checks": 3}
+    with pytest.raises(ZeroDivisionError):
+        files.write_report(lambda: 1 / 0, str(tmp_path / "fatal.json"))
+    assert json.loads((tmp_path / "fatal.json").read_text())["error"] == "ZeroDivisionError"
+    assert [r.json for r in files.as_json(spark.createDataFrame([(1, None)], "b int, a string")).collect()] == ['{"b":1}']
+    root = str(tmp_path / "tables")
+    with pytest.raises(FileNotFoundError):
+        tables.write_table(spark.range(2), root, "t", "existing")
+    with pytest.raises(ValueError):
+        tables.write_table(spark.range(2), root, "t", "read")
+    tables.write_table(spark.range(2), root, "t")
+    tables.write_table(spark.range(2), root, "t", "existing")
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.write_table(spark.range(2), root, "t")
+    assert tables.table(spark, root, "t").count() == 4
+    assert [tuple(r) for r in tables.columns(spark, root, ("t",)).collect()] == [("t", "id", 1, "bigint")]
