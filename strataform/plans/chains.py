@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.functions.jsons import instant_us
-from strataform.operators import facts, support
-from strataform.plans.reference import _CUR, _EV, DAY_US, NOW_US, _evidence, _facts
+from strataform.functions.identity import opaque_id
+from strataform.operators import facts, quality, subjects, support
+from strataform.plans.reference import _CUR, _EV, DAY_US, NOW_US, SQL as _REF, _evidence, _facts, _wide_sql, domain_states
 from strataform.session import materialize
 from strataform.sources.tables import table
 
@@ -181,3 +182,55 @@ def surface_coverage(spark: SparkSession, d: str) -> DataFrame:
     per = o.groupBy("subject_id", "session_id", "predicate").agg(F.max((F.col("status") == "usable").cast("int")).alias("seen"), F.max((F.col("at_us") >= NOW_US - 365 * DAY_US).cast("int")).alias("fresh"))
     v = per.groupBy("subject_id", "predicate").agg(F.max("seen").alias("seen"), F.min("seen").alias("every"), F.max("fresh").alias("fresh"))
     return v.select("subject_id", "predicate", F.when((F.col("seen") == 1) & (F.col("every") == 1), "observed").when(F.col("seen") == 1, "observed_in_part").when(F.col("fresh") == 1, "inspected_without_result").otherwise("not_covered").alias("coverage"))
+
+
+_SIGNED = ("domain", "state", "facts", "fresh")
+
+
+@query(f"""with t as ({_REF["domain_states"]}), a as (select subject_id, count(*) domains, {_wide_sql(*_SIGNED)} signature from t group by 1)
+select subject_id, 'asm_' || substr(sha256(subject_id || chr(31) || signature), 1, 32) assessment_id, domains from a""")
+def assessments(spark: SparkSession, d: str) -> DataFrame:
+    """An assessment per subject whose id follows from what it rests on: the same states give the same id again."""
+    a = domain_states(spark, d).groupBy("subject_id").agg(F.count("*").alias("domains"), quality.wide_digest(*_SIGNED).alias("signature"))
+    return a.select("subject_id", opaque_id("asm", F.col("subject_id"), F.col("signature")).alias("assessment_id"), "domains")
+
+
+@query(f"""with t as ({_REF["domain_states"]}), a as (select subject_id, count(*) domains, {_wide_sql(*_SIGNED)} signature, count(*) filter (state = 'conflicted') bad from t group by 1), s as (select subject_id, signature from a where bad = 0)
+select a.subject_id, 'asm_' || substr(sha256(a.subject_id || chr(31) || a.signature), 1, 32) assessment_id, domains from a join s on s.subject_id = a.subject_id and s.signature = a.signature""")
+def sealed_assessments(spark: SparkSession, d: str) -> DataFrame:
+    """The assessments that may be seen: those whose seal, set where no domain is in conflict, still fits their states."""
+    states = materialize(domain_states(spark, d), "states")
+    a = states.groupBy("subject_id").agg(F.count("*").alias("domains"), quality.wide_digest(*_SIGNED).alias("signature"))
+    bad = states.filter("state = 'conflicted'").select("subject_id").distinct()
+    seals = states.join(bad, "subject_id", "left_anti").groupBy("subject_id").agg(quality.wide_digest(*_SIGNED).alias("signature"))
+    return a.join(seals, ["subject_id", "signature"]).select("subject_id", opaque_id("asm", F.col("subject_id"), F.col("signature")).alias("assessment_id"), "domains")
+
+
+@query(f"""with t as ({_REF["domain_states"]}) select subject_id, domain, case when state in ('strong', 'sufficient') then 'partial' else state end preview from t""")
+def domain_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The states of domains before an assessment: never better than partial."""
+    return domain_states(spark, d).select("subject_id", "domain", F.when(F.col("state").isin("strong", "sufficient"), "partial").otherwise(F.col("state")).alias("preview"))
+
+
+@query(f"with {_OBS}, last as (select (business_id) b, arg_max(acquisition_session_id, lpad(created::varchar, 20, '0') || id) session_id, count(distinct acquisition_session_id) sessions from e where business_id is not null group by 1) select l.business_id, l.location_id, last.session_id, coalesce(sessions, 0) sessions from maps_business_location_links l join businesses on businesses.id = l.business_id left join last on last.b = l.business_id")
+def planner_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Of every linked listing the session that last brought evidence, and how many did."""
+    links = table(spark, d, "maps_business_location_links", "business_id", "location_id").join(table(spark, d, "businesses", F.col("id").alias("business_id")), "business_id", "left_semi")
+    last = _evidence(spark, d).filter("business_id is not null").groupBy("business_id").agg(F.max_by("acquisition_session_id", F.struct("created", "id")).alias("session_id"), F.countDistinct("acquisition_session_id").alias("sessions"))
+    return links.join(last, "business_id", "left").select("business_id", "location_id", "session_id", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
+@query("""with r as (select distinct raw_sha256, identity_key, business_id from parsed_reviews), x as (select distinct sha256(raw_json) raw_sha256 from parsed_reviews) select r.business_id, count(*) reviews, count(distinct r.identity_key) identities from r join x on x.raw_sha256 = r.raw_sha256 join businesses b on b.id = r.business_id group by 1""")
+def reviews_by_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews joined on the id that follows from their content."""
+    r = table(spark, d, "parsed_reviews", "raw_sha256", "identity_key", "business_id").distinct()
+    x = table(spark, d, "parsed_reviews", F.sha2("raw_json", 256).alias("raw_sha256")).distinct()
+    b = table(spark, d, "businesses", F.col("id").alias("business_id"))
+    return r.join(x, "raw_sha256", "left_semi").join(b, "business_id", "left_semi").groupBy("business_id").agg(F.count("*").alias("reviews"), F.countDistinct("identity_key").alias("identities"))
+
+
+@query("select 'repeated' outcome, count(distinct id) n from facts")
+def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The same facts loaded again: all are held and equal, none is inserted or differs."""
+    f = table(spark, d, "facts", "id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from")
+    return subjects.load_outcomes(f, f.dropDuplicates(["id"]), "id", f.columns)

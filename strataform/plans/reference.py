@@ -423,14 +423,21 @@ def recent_runs_topk(spark: SparkSession, d: str) -> DataFrame:
 union all select 'location_unique', (select count(*) from (select location_id from maps_business_location_links group by 1 having count(*) > 1)) union all select 'last_run_known', (select count(*) from businesses where last_run_id not in (select id from runs)) union all select 'evidence_source_known', (select count(*) from evidence_items where source_id not in (select id from sources))
 union all select 'fact_status', (select count(*) from facts where status is null or status not in ('confirmed', 'single_source', 'stale', 'conflicted', 'unknown', 'not_observed', 'not_applicable')) union all select 'coordinates', (select count(*) from businesses where not coalesce(latitude between -90 and 90 and longitude between -180 and 180, false))
 union all select 'value_stated', (select count(*) from facts where (value_json is null) <> (status in ('unknown', 'not_observed', 'not_applicable'))) union all select 'closed_after_start', (select count(*) from facts where not coalesce(valid_to::timestamptz >= valid_from::timestamptz, true)) union all select 'terminal_run_finished', (select count(*) from runs where status = 'complete' and finished_at is null)
+union all select 'link_business_known', (select count(*) from maps_business_location_links where business_id not in (select id from businesses)) union all select 'one_link_per_business', (select count(*) from (select business_id from maps_business_location_links group by 1 having count(*) > 1))
+union all select 'review_seal', (select count(*) from parsed_reviews where raw_sha256 <> sha256(raw_json)) union all select 'single_slot', (select count(*) from facts where predicate not in ('location.phone', 'reputation.customer_review') and fact_slot <> '__single__')
 union all select 'one_open_version', (select count(*) from (select subject_id, predicate, fact_slot from (select distinct id, subject_id, predicate, fact_slot, valid_to from facts) where valid_to is null group by 1, 2, 3 having count(*) > 1))) select check_name, bad, (bad = 0)::int passed from c""")
 def dq_gate(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "facts", "id", "subject_id", "predicate", "fact_slot", "value_json", "status", "valid_from", "valid_to")
     b = table(spark, d, "businesses", "id", "place_id", "latitude", "longitude", "last_run_id")
     r, e = table(spark, d, "runs", "id", "status", "finished_at"), table(spark, d, "evidence_items", "id", "source_id")
+    links, reviewed = table(spark, d, "maps_business_location_links", "business_id"), table(spark, d, "parsed_reviews", "raw_sha256", "raw_json")
     none = F.col("status").isin(*facts_none())
     return quality.gate(
         [
+            quality.foreign_check(links, "link_business_known", "business_id", b, "id"),
+            quality.unique_check(links, "one_link_per_business", "business_id"),
+            quality.rule_check(reviewed, "review_seal", F.col("raw_sha256") == F.sha2("raw_json", 256)),
+            quality.rule_check(f, "single_slot", F.col("predicate").isin("location.phone", "reputation.customer_review") | (F.col("fact_slot") == "__single__")),
             quality.unique_check(f, "fact_id_unique", "id"),
             quality.unique_check(b, "business_id_unique", "id"),
             quality.unique_check(b.select(strong_id(F.col("place_id")).alias("k")).filter("k is not null"), "place_id_unique", "k"),
