@@ -110,3 +110,20 @@ select 'near' relation, x left_id, y right_id from d where m <= 120 union all
 select 'in', id, area_id from p join areas on latitude between min_lat and max_lat and (case when min_lon <= max_lon then longitude between min_lon and max_lon else longitude >= min_lon or longitude <= max_lon end)""",
 }
 SQL["p1_loads"] = SQL["p1_found"]
+
+def _inline(x: str) -> str:
+    """SQL for a JSON value, read where it is a text that is JSON itself."""
+    return f"case when json_type({x}) = 'VARCHAR' and regexp_matches({x}->>'$', '^\\s*[\\{{\\[]') and json_valid({x}->>'$') then ({x}->>'$')::json else {x} end"
+
+
+_CHILD = "json_extract(v, '$.\"' || k || '\"')"
+# first all array paths of all records, then the elements, lone objects at such paths included
+SQL["p4_found"] = f"""with recursive src as (select id, {_inline('raw_json::json')} v from businesses where json_valid(raw_json)),
+w1 as (select v, '' g from src union all select * from (select {_inline('c')} v, g || case when e and json_type({_inline('c')}) = 'ARRAY' then '.[]' when e then '' else '.' || k end g from
+  (select {_CHILD} c, k, g, false e from (select v, g, unnest(json_keys(v)) k from w1 where json_type(v) = 'OBJECT') union all select unnest(v::json[]), '', g, true from w1 where json_type(v) = 'ARRAY')) where json_type(v) in ('OBJECT', 'ARRAY')),
+ar as (select distinct g from w1 where json_type(v) = 'ARRAY'),
+w2 as (select id, case when json_type(v) = 'ARRAY' then 'A' else 'O' end t, v, '' g, '' at_path, '' near, '' parent, false found from src where json_type(v) in ('OBJECT', 'ARRAY') union all
+  select * from (select id, case when json_type(v) = 'ARRAY' then 'A' when g in (select g from ar) then 'L' else 'O' end t, v, g, at_path, near, '' parent, false found from (select id, {_inline('c')} v, g || '.' || k g, case when at_path = '' then k else at_path || '.' || k end at_path, near from (select id, {_CHILD} c, k, g, at_path, near from (select *, unnest(json_keys(v)) k from w2 where t = 'O'))) where json_type(v) in ('OBJECT', 'ARRAY')
+  union all select id, case when json_type(v) = 'ARRAY' then 'A' else 'O' end, v, case when json_type(v) = 'ARRAY' then g || '.[]' else g end, at_path || '[' || i || ']', case when json_type(v) = 'ARRAY' then near else at_path || '[' || i || ']' end, near, json_type(v) = 'OBJECT' from (select id, {_inline('c')} v, g, at_path, near, i from (select id, unnest(v::json[]) c, unnest(range(0, len(v::json[]))) i, g, at_path, near from w2 where t = 'A')) where json_type(v) in ('OBJECT', 'ARRAY')
+  union all select id, 'O', v, g, at_path || '[0]', at_path || '[0]', near, true from w2 where t = 'L'))
+select distinct id business_id, parent parent_path, at_path as path from w2 where found"""
