@@ -117,12 +117,18 @@ def _held(key: str) -> str:
 
 
 _FIELDS = ", ".join(f"('{f}', {_held(f) if f != 'website' else f'coalesce({_held(f)}, {_held("web_site")})'})" for f in FIELDS)
-SQL: dict[str, str] = {
-    "p5_found": f"""with recursive k as (select id, unnest(['p' || place_id, 'c' || cid, 'd' || data_id]) k, unnest([place_id, cid, data_id]) v from businesses),
+_VOTERS = f"""with recursive k as (select id, unnest(['p' || place_id, 'c' || cid, 'd' || data_id]) k, unnest([place_id, cid, data_id]) v from businesses),
 u as (select id, k from k where lower(trim(v)) not in {_BLANK} and lower(trim(v)) not in ('0', '0x0', '0x0:0x0', '-1')),
 r as (select id a, id b from u union select r.a, y.id from r join u x on x.id = r.b join u y on y.k = x.k),
 g as (select a id, min(b) group_id from r group by 1 having count(*) > 1),
 m as (select g.group_id, b.id, coalesce(status = 'complete', false) done, epoch_us(last_seen_at::timestamptz) seen, raw_json::json j from g join (select id, last_seen_at, last_run_id, raw_json from businesses where json_valid(raw_json)) b on b.id = g.id left join (select id rid, status from runs) on rid = last_run_id),
-f as (select group_id, id, done, seen, t.f field_name, t.v from m, lateral (select * from (values {_FIELDS}) as x(f, v)) t where t.v is not null)
+f as (select group_id, id, done, seen, t.f field_name, t.v from m, lateral (select * from (values {_FIELDS}) as x(f, v)) t where t.v is not null)"""
+SQL: dict[str, str] = {
+    "p5_found": f"""{_VOTERS}
 select group_id, field_name, id business_id from (select *, row_number() over (partition by group_id, field_name order by done desc, seen desc nulls last, id) n from f) where n = 1""",
+    "p5_records": f"""{_VOTERS}, y as (select * replace (regexp_replace(v, case when field_name = 'review_rating' then '\\.0+$' else '$^' end, '') as v) from f),
+w as (select *, case when done then 1.0 else {UNFINISHED_TRUST} end::double t, lower(regexp_replace(v, '\\s+', ' ', 'g')) norm from y),
+b as (select group_id, field_name, norm, sum(t * pow(2.0, -(1900000000000000 - coalesce(seen, 0)) / (86400000000.0 * 180))) score from w group by 1, 2, 3),
+x as (select w.*, score, row_number() over (partition by w.group_id, w.field_name order by score desc, t desc, seen desc nulls last, id) n from w join b on b.group_id = w.group_id and b.field_name = w.field_name and b.norm = w.norm)
+select group_id, {", ".join(f"max(v) filter (field_name = '{c}') {c}" for c in FIELDS)} from x where n = 1 group by 1""",
 }
