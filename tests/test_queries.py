@@ -2,11 +2,15 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strataform.plans import registry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 #: Checked against true or brute-force results in tests of their own.
@@ -55,3 +59,14 @@ def test_core_stands_without_text_operators():
     for f in glob.glob(f"{root}/strataform/**/*.py", recursive=True):
         if "/llm/" not in f:
             assert "strataform.llm" not in open(f).read(), f
+
+
+def test_the_rest_stands_with_the_text_folders_deleted(tmp_path):
+    """A copy without both folders imports, keeps all other queries and has none of theirs."""
+    root = os.path.dirname(entry.__file__)
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; from strataform.plans import registry as r; assert set(e.queries()) == set(r.queries()) and set(e.oracle_sql()) == set(r.oracle_sql()); print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) == len(set(QUERIES) & set(registry.queries()))

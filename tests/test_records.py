@@ -134,7 +134,7 @@ def test_all_ten_fields_become_facts(spark, data):
     from strataform.plans.reference import QUERIES
 
     b = spark.read.parquet(f"{data}/businesses.parquet")
-    got = QUERIES["facts_unpivot_all"](spark, data)
+    got = QUERIES["facts_unpivot"](spark, data)
     assert got.select("predicate").distinct().count() == 10
     for c in ("latitude", "longitude"):
         facts = got.filter(f"predicate = 'location.{c}'").collect()

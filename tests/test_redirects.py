@@ -63,7 +63,7 @@ def test_conflicts_of_every_id(spark, linked):
     d, rows, root, a = linked
     values: dict = {}
     for r in rows:
-        for c in IDS:
+        for c in (*IDS, "phone", "website"):
             if r[c] and r[c].strip():
                 values.setdefault((root[r["id"]], c), set()).add(r[c].strip())
     got = {(r.group_id, r.field): r.n for r in queries()["identity_conflicts"](spark, d).collect()}
