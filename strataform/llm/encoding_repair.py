@@ -5,8 +5,8 @@ sentence with non-ASCII characters, which chain of encodings garbled it, or that
 sentences of a bounded sample of documents (``fit_docs``, by hash of the id) that are garbled synthetically with every
 chain; a second round drops the sample's own garbled sentences. The ``tries`` likeliest chains are inverted, in the
 classifier's order; a result counts only if every byte decodes strictly, garbling it again gives the text as found, and
-the classifier takes it for clean: no chain leads clean by more than ``slack``, or, where strict UTF-8 speaks for the
-result, by more than a quarter of the lead that the text as found had. A chain the classifier ranks lower is not tried. Sentences are cut at ASCII marks,
+the classifier takes it for clean: no chain leads clean by more than ``slack``, or by more than
+a share of the lead that the text as found had, a quarter where strict UTF-8 speaks for the result, else three. A chain the classifier ranks lower is not tried. Sentences are cut at ASCII marks,
 which every chain leaves alone. One chain tends to rule a document, so the chains of a document's clear sentences weigh
 on its unclear ones. Chains between one-byte encodings decode anything, so there the restored words must also be the more
 frequent ones, as counted over all documents.
@@ -261,7 +261,7 @@ def _taken_for_clean(model: Model, text: str, most: float) -> bool:
     return bool(score.max() - score[0] <= most)
 
 
-def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float = 15.0, tries: int = 4) -> tuple[str, str | None, float]:
+def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float = 15.0, tries: int = 8) -> tuple[str, str | None, float]:
     """(label, restored text, lead over clean) of one sentence; restored is null where no chain can be inverted.
 
     Only the ``tries`` likeliest chains are tried, and of those none that trails clean by more than ``slack``.
@@ -282,7 +282,7 @@ def _best(model: Model, text: str, bonus: np.ndarray | None = None, slack: float
         back = invert(text, chain)
         if back is None or back == text or _C1.search(back) or garble(back, chain) != text:
             continue
-        if _taken_for_clean(model, back, max(slack, lead[k] / 4 if chain in _UTF8 else 0)) and _plausible(model, chain, text, back, lead[k]):
+        if _taken_for_clean(model, back, max(slack, lead[k] * (0.25 if chain in _UTF8 else 0.75))) and _plausible(model, chain, text, back, lead[k]):
             return chain, back, float(lead[k])
     # some words damaged, others not: word by word, where each decodes strictly
     for k in order:
