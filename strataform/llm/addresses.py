@@ -5,7 +5,8 @@ dropped). Which names are cities, and which city a district or postcode belongs
 rare name one or two letters from a frequent city counts as that city. Addresses become classes of equal (city, number,
 street). Classes are banded by MinHash over street tokens and q-grams that carry city and number, so that only spellings
 of one number in one city can meet: another number is another building by the task's own terms. A band is two MinHash
-values; of two spellings that share four tenths of their shingles ``bands`` of them miss one in a thousand. Candidates
+values; of two spellings that share a quarter of their shingles ``bands`` of them find 99 in a hundred, and spellings one
+typing error apart meet in any case, by an equal deletion of one letter. Candidates
 are verified by an affine-gap alignment of street tokens whose substitution costs know abbreviations, ordinals and
 typing errors.
 
@@ -238,19 +239,22 @@ def with_city(p: DataFrame, sure: float = 0.9) -> DataFrame:
 def candidate_pairs(classes: DataFrame, bands: int, rows: int = 2, q: int = 2) -> DataFrame:
     """(a, b, street_a, street_b) of classes that share a band; classes: (cls, city, number, street, zone).
 
-    Shingles are the tokens and q-grams of the street without type and compass point; a band is ``rows`` MinHash values.
+    Shingles are the tokens and q-grams of the street without type and compass point; a band is ``rows`` MinHash values. Equal deletions of one letter are buckets too.
     A street lies in one zone, so different spellings in two known zones are no candidates.
     """
     core = F.regexp_replace(F.regexp_replace("street", r"\b[td]:\S+", ""), r"\s+", " ")
     core = F.concat(F.lit("^"), F.when(F.trim(core) != "", F.trim(core)).otherwise(F.col("street")), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("core") - (q - 1))), lambda i: F.substring(F.col("core"), i, F.lit(q))))
     shingles = F.array_union(grams, F.filter(F.split("core", "[ ^$]+"), lambda t: t != ""))
-    c = classes.withColumn("core", core).select("cls", F.xxhash64("city", "number").alias("place"), F.transform(shingles, lambda g: F.xxhash64(g)).alias("h"))
+    # spellings one typing error apart have an equal deletion of one letter, however few shingles they share
+    less = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring(F.col("core"), F.lit(1), i - 1), F.substring(F.col("core"), i + 1, F.length("core"))))
+    c = classes.withColumn("core", core).select("cls", F.xxhash64("city", "number").alias("place"), F.array_distinct(F.concat(F.array("core"), less)).alias("less"), F.transform(shingles, lambda g: F.xxhash64(g)).alias("h"))
 
     def least(seed: int):
         return F.array_min(F.transform("h", lambda x: F.xxhash64(F.lit(seed), x)))
 
     sig = F.array(*[F.xxhash64("place", F.lit(s), *[least(s * rows + r) for r in range(rows)]) for s in range(bands)])
+    sig = F.concat(sig, F.transform("less", lambda w: F.xxhash64("place", F.lit(-1), w)))
     c = c.select("cls", F.explode(sig).alias("bucket"))
     met = c.withColumnRenamed("cls", "a").join(c.withColumnRenamed("cls", "b"), "bucket").filter("a < b").select("a", "b").distinct()
     of = lambda s: classes.select(F.col("cls").alias(s), F.col("street").alias(f"street_{s}"), F.col("zone").alias(f"zone_{s}"))
@@ -280,7 +284,7 @@ def _classed(df: DataFrame, id_col: str, address: str, bands: int, most: float)
     return rows, verified(candidate_pairs(classes, bands), most)
 
 
-def same_building(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 40, most: float = 0.58, block_rows: int = 2048) -> DataFrame:
+def same_building(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 72, most: float = 0.58, block_rows: int = 2048) -> DataFrame:
     """(id_a, id_b), the smaller first, of rows whose addresses denote the same building."""
     rows, met = _classed(df, id_col, address, bands, most)
     size = rows.groupBy("cls").agg(F.countDistinct("id").alias("n")).select("cls", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), "n")
@@ -296,7 +300,7 @@ def same_building(df: DataFrame, id_col: str = "id", address: str = "address", b
     return out.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 
-def buildings(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 40, most: float = 0.58) -> DataFrame:
+def buildings(df: DataFrame, id_col: str = "id", address: str = "address", bands: int = 72, most: float = 0.58) -> DataFrame:
     """(id, building_id, spellings): one row per row with a readable address; the building is named by its smallest id.
 
     Spellings that denote one building directly or through others are one building.

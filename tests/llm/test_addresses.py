@@ -86,7 +86,7 @@ def test_recall_of_bands_and_a_city_of_ten_thousand_streets(spark):
     pairs = [(s, typo(s)) for s in streets[:1000]]
     rows = [(k, s + " t:road") for k, s in enumerate(streets)] + [(20_000 + k, b + " t:road") for k, (_, b) in enumerate(pairs)]
     df = spark.createDataFrame([(c, "city", "7", s, None) for c, s in rows], "cls long, city string, number string, street string, zone string")
-    got = {(r.a, r.b) for r in candidate_pairs(df, 40).select("a", "b").collect()}
+    got = {(r.a, r.b) for r in candidate_pairs(df, 72).select("a", "b").collect()}
     want = {(k, 20_000 + k) for k, (a, b) in enumerate(pairs) if a != b}
-    assert len(want & got) / len(want) > 0.97
-    assert len(got) < 0.03 * len(rows) ** 2 / 2  # one value a band made half of all pairs candidates
+    assert want <= got  # one typing error each
+    assert len(got) < 0.05 * len(rows) ** 2 / 2  # one value a band made half of all pairs candidates
