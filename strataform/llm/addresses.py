@@ -15,6 +15,9 @@ in shuffled joins that AQE splits where a bucket is hot. ``same_building`` expan
 ``block_rows``, so that no task takes a whole hot class; that result grows with the square of a building by its
 definition. ``buildings`` gives one row per address and its building instead.
 
+Memory. Tables that grow with the rows are joined by sort and merge at every size, so none of them is gathered in the
+driver: the size checks for broadcasts go by compressed files and do not see how many rows an ``explode`` makes of one.
+
 Defined results: null, empty and placeholder addresses, and those without a number, a street or any locality that
 tells the city, take no part; a repeated row counts once; an address is never paired with itself; very long texts are
 read whole.
@@ -191,6 +194,11 @@ def parsed(df: DataFrame, id_col: str = "id", address: str = "address") -> DataF
     return d.mapInArrow(scan, "id long, number string, street string, post string, hint string, names array<string>")
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of which neither side is broadcast."""
+    return left.hint("merge").join(right, on, how)
+
+
 def city_spellings(p: DataFrame, often: int = 20) -> DataFrame:
     """(place, right): rare names that misspell a city by one letter, or by two from eight letters on.
 
@@ -201,7 +209,7 @@ def city_spellings(p: DataFrame, often: int = 20) -> DataFrame:
     less = F.transform(F.expr("sequence(1, length(place))"), lambda i: F.concat(F.substring(F.col("place"), F.lit(1), i - 1), F.substring(F.col("place"), i + 1, F.length("place"))))
     cut = lambda d: d.withColumn("v", F.explode(F.array_distinct(F.concat(F.array("place"), less))))
     cities = cut(seen.filter(F.col("as_city") >= often)).select(F.col("place").alias("right"), F.col("n").alias("m"), "v")
-    met = cut(seen).join(cities, "v").filter((F.col("place") != F.col("right")) & (F.col("m") >= often * F.col("n")))
+    met = _merged(cut(seen), cities, "v").filter((F.col("place") != F.col("right")) & (F.col("m") >= often * F.col("n")))
     near = F.levenshtein("place", "right")
     met = met.filter((near == 1) | (near == 2) & (F.length("place") >= 8)).withColumn("near", near)
     return met.groupBy("place").agg(F.min_by("right", F.struct("near", -F.col("m"), "right")).alias("right"))
@@ -216,7 +224,7 @@ def spelled(p: DataFrame) -> DataFrame:
     p = p.join(fix, "hint", "left").withColumn("hint", F.coalesce("_hint", "hint")).drop("_hint")
     each = p.select("id", F.explode("names").alias("place")).join(wrong, "place").groupBy("id").agg(F.collect_set("right").alias("_more"))
     more = F.array_union(F.coalesce("names", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))
-    return p.join(each, "id", "left").withColumn("names", more).select("id", "number", "street", "post", "hint", "names")
+    return _merged(p, each, "id", "left").withColumn("names", more).select("id", "number", "street", "post", "hint", "names")
 
 
 def with_city(p: DataFrame, sure: float = 0.9) -> DataFrame:
@@ -229,10 +237,10 @@ def with_city(p: DataFrame, sure: float = 0.9) -> DataFrame:
     counted = seen.groupBy("place", "hint", "post").agg(F.count("*").alias("n"))
     cities = counted.filter("hint is not null").groupBy("place", "hint").agg(F.sum("n").alias("n")).groupBy("place").agg(F.max_by("hint", F.struct("n", "hint")).alias("city"))
     posts = counted.filter("post is not null").groupBy("place", "post").agg(F.sum("n").alias("n")).groupBy("place").agg(F.max_by("post", F.struct("n", "post")).alias("zone"), (F.max("n") / F.sum("n")).alias("share"))
-    of = cities.join(posts.filter(F.col("share") >= sure).drop("share"), "place", "left")
+    of = _merged(cities, posts.filter(F.col("share") >= sure).drop("share"), "place", "left")
     rank = F.when(F.col("place") == F.col("city"), 3).when(F.col("place").startswith("post:"), 2).otherwise(1)
     mine = p.select("id", "number", "street", "post", F.explode(places).alias("place")).filter("number is not null and street is not null")
-    found = mine.join(of, "place").groupBy("id", "number", "street", "post").agg(F.max_by("city", F.struct(rank, "city")).alias("city"), F.max("zone").alias("zone"))
+    found = _merged(mine, of, "place").groupBy("id", "number", "street", "post").agg(F.max_by("city", F.struct(rank, "city")).alias("city"), F.max("zone").alias("zone"))
     return found.select("id", "number", "street", "city", F.coalesce("post", "zone").alias("zone"))
 
 
@@ -256,9 +264,9 @@ def candidate_pairs(classes: DataFrame, bands: int, rows: int = 2, q: int = 2) -
     sig = F.array(*[F.xxhash64("place", F.lit(s), *[least(s * rows + r) for r in range(rows)]) for s in range(bands)])
     sig = F.concat(sig, F.transform("less", lambda w: F.xxhash64("place", F.lit(-1), w)))
     c = c.select("cls", F.explode(sig).alias("bucket"))
-    met = c.withColumnRenamed("cls", "a").join(c.withColumnRenamed("cls", "b"), "bucket").filter("a < b").select("a", "b").distinct()
+    met = _merged(c.withColumnRenamed("cls", "a"), c.withColumnRenamed("cls", "b"), "bucket").filter("a < b").select("a", "b").distinct()
     of = lambda s: classes.select(F.col("cls").alias(s), F.col("street").alias(f"street_{s}"), F.col("zone").alias(f"zone_{s}"))
-    met = met.join(of("a"), "a").join(of("b"), "b")
+    met = _merged(_merged(met, of("a"), "a"), of("b"), "b")
     near = F.coalesce(F.col("zone_a") == F.col("zone_b"), F.lit(True)) | (F.col("street_a") == F.col("street_b"))
     return met.filter(near).select("a", "b", "street_a", "street_b")
 
@@ -290,12 +298,12 @@ def same_building(df: DataFrame, id_col: str = "id", address: str = "address", b
     size = rows.groupBy("cls").agg(F.countDistinct("id").alias("n")).select("cls", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), "n")
     own = size.filter("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     both = met.union(own)
-    cut = both.join(size.select(F.col("cls").alias("a"), F.col("blocks").alias("blocks_a")), "a").join(size.select(F.col("cls").alias("b"), F.col("blocks").alias("blocks_b")), "b")
+    cut = _merged(_merged(both, size.select(F.col("cls").alias("a"), F.col("blocks").alias("blocks_a")), "a"), size.select(F.col("cls").alias("b"), F.col("blocks").alias("blocks_b")), "b")
     cut = cut.withColumn("block_a", F.explode(F.expr("sequence(0, blocks_a - 1)"))).withColumn("block_b", F.explode(F.expr("sequence(0, blocks_b - 1)")))
-    member = rows.join(size, "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).distinct()
+    member = _merged(rows, size, "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).distinct()
     left = member.select(F.col("cls").alias("a"), F.col("block").alias("block_a"), F.col("id").alias("i"))
     right = member.select(F.col("cls").alias("b"), F.col("block").alias("block_b"), F.col("id").alias("j"))
-    out = cut.select("a", "b", "block_a", "block_b").join(left, ["a", "block_a"]).join(right, ["b", "block_b"])
+    out = _merged(_merged(cut.select("a", "b", "block_a", "block_b"), left, ["a", "block_a"]), right, ["b", "block_b"])
     out = out.filter((F.col("a") != F.col("b")) | (F.col("i") < F.col("j"))).filter("i != j")
     return out.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
@@ -307,7 +315,7 @@ def buildings(df: DataFrame, id_col: str = "id", address: str = "address", bands
     """
     rows, met = _classed(df, id_col, address, bands, most)
     group = components(met.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("cls"), "group_id")
-    named = rows.select("id", "cls").distinct().join(group, "cls", "left").withColumn("group_id", F.coalesce("group_id", "cls"))
+    named = _merged(rows.select("id", "cls").distinct(), group, "cls", "left").withColumn("group_id", F.coalesce("group_id", "cls"))
     named = materialize(named, "members")
     first = named.groupBy("group_id").agg(F.min("id").alias("building_id"), F.countDistinct("cls").alias("spellings"))
-    return named.join(first, "group_id").select("id", "building_id", "spellings").distinct()
+    return _merged(named, first, "group_id").select("id", "building_id", "spellings").distinct()

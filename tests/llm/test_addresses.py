@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from strataform.llm.addresses import alignment_cost, buildings, candidate_pairs, parse, same_building
+from strataform.llm.addresses import alignment_cost, buildings, candidate_pairs, city_spellings, parse, parsed, same_building, with_city
+from strataform.session import materialize
 
 COLS = "id long, address string, city string"
 
@@ -90,3 +91,11 @@ def test_recall_of_bands_and_a_city_of_ten_thousand_streets(spark):
     want = {(k, 20_000 + k) for k, (a, b) in enumerate(pairs) if a != b}
     assert want <= got  # one typing error each
     assert len(got) < 0.05 * len(rows) ** 2 / 2  # one value a band made half of all pairs candidates
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """However small the files are said to be: buckets, places and classes are many more rows than their size tells."""
+    df = spark.createDataFrame([(k, f"{k % 90} Mill Lane, Oldtown, Riverton 100001", "x") for k in range(200)], COLS)
+    p = materialize(parsed(df), "read")
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (city_spellings(p), with_city(p), same_building(df), buildings(df))]
+    assert all("SortMergeJoin" in x and "Broadcast" not in x for x in plans)
